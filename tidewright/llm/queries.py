@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidewright.llm import warc
+from tidewright.llm import packing, warc
 
 
 def queries() -> dict:
-    return {"op10_warc_content_addressed": warc.op10_warc_content_addressed}
+    return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op10_warc_content_addressed": warc.op10_warc_content_addressed,
+    }
 
 
 def oracle_sql() -> dict:
