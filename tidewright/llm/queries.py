@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewright.llm import packing, warc
+from tidewright.llm import neardup, packing, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_warc_content_addressed": warc.op10_warc_content_addressed,
     }
 
