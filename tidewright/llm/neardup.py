@@ -4,7 +4,10 @@ One pass over the texts gives, for every document, the size and a 128-bit
 fingerprint of its shingle set and its band keys. Documents with equal sets are
 one class, and only each class's representative goes on. Buckets are compared
 along stars, so candidate edges are as many as bucket rows, never pairs of a
-bucket. Every candidate edge is confirmed on the full sets.
+bucket. Every candidate edge is confirmed on the full sets. A star's centre may
+be like none of two members that are like each other; so buckets whose members
+are still in several components get new stars, until a turn over all of them
+finds no link.
 """
 
 from __future__ import annotations
@@ -190,34 +193,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = stored(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = keyed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("a")).where("m > 1").drop("m")
-    member = stored(rows.join(shared, "key").select("key", "doc_id", "n", "a"), "buckets")
+    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    member = stored(rows.join(shared, "key", "left_semi").withColumn("c", F.col("doc_id")), "buckets")
     texts = stored(docs.select("doc_id", "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    retired = None
-    tested = links = None
-    centre = member.where("doc_id = a").select("key", F.col("n").alias("an"))
-    edges = member.where("doc_id != a").join(centre, "key")
+    joined, turn = None, 0
     while True:
-        fits = edges.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
-        if tested is not None:
-            fits = fits.join(tested, (F.least(fits.a, fits.b) == tested.x) & (F.greatest(fits.a, fits.b) == tested.y), "left_anti")
-        fits = stored(fits, "stars")
-        found = stored(confirmed(fits, texts, k, percent), "links")
-        pairs = fits.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        # the first centres are least ids, which most buckets of a group share; later ones are as good as drawn
+        rank = F.lit(0) if not turn else F.xxhash64("key", "doc_id", F.lit(turn))
+        centre = member.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "c")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"), F.col("s.c").alias("ac"))
+        star = stored(member.join(centre, "key"), "stars")
+        edges = star.where(f"c != ac and 100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
+        found = stored(confirmed(edges, texts, k, percent), "links")
+        if turn and found.isEmpty():
+            break
+        links = found if joined is None else found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
         joined = components(links)
-        # centres are done with; a bucket goes on while its other members are in more than one component
-        gone = (member.select("key", "a") if retired is None else edges.select("key", "a")).distinct().withColumnRenamed("a", "doc_id")
-        retired = gone if retired is None else retired.unionByName(gone)
-        left = member.select("key", "doc_id", "n").join(retired, ["key", "doc_id"], "left_anti").join(joined, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-        parts = left.groupBy("key", "c").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("an"))
-        # the least part's least member is the next centre, against the members of the other parts
-        nxt = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("m", "a", "an", "c")).alias("s")).where("parts > 1").select("key", "s.a", "s.an", F.col("s.c").alias("own"))
-        edges = stored(left.join(nxt, "key").where("c != own").select("key", "doc_id", "n", "a", "an"), "rest")
-        if edges.isEmpty():
+        # a centre is done with; a bucket goes on while the others are in more than one component
+        left = star.where("doc_id != a").select("key", "doc_id", "n").join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+        mixed_keys = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+        member = stored(left.join(mixed_keys, "key", "left_semi"), "buckets")
+        if member.isEmpty():
             break
+        turn += 1
     name = classes.join(joined, classes.rep == joined.doc_id, "left").select("n", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketch.join(name, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
