@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidewright.llm import neardup, packing, warc
+from tidewright.llm import langid, neardup, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op4_language_id": langid.op4_language_id,
+        "op6_quality_subword_embeddings": quality.op6_quality_subword_embeddings,
+        "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_warc_content_addressed": warc.op10_warc_content_addressed,
     }
