@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import load, stored
+from tidewright.llm.common import load, sliced, stored
 
 CAPACITY = 2048
 #: Entries of each worker's cache from chunk to token ids; emptied when full.
@@ -147,41 +147,78 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.nd
 # ---- tokens --------------------------------------------------------------------
 
 
+#: The tokenizer's words within a chunk, a fixed value of the vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
-    """Token ids of texts, through a cache of white-space separated chunks.
+    """Token ids of texts, through caches of white-space separated chunks and of the words in them.
 
     The tokenizer drops white space and its words never span it, so a text's ids
-    are those of its chunks in order. Texts where Python's white space is not the
-    tokenizer's, or with a special token's string, go to the tokenizer whole.
+    are those of its chunks in order; those of a chunk are those of its words.
+    Chunks beyond Latin letters go to the tokenizer whole, and so do texts where
+    Python's white space is not the tokenizer's or that hold a special token's string.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        # the same merges for words that are normal and cut already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.split = regex.compile(WORDS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = "\x01"
+        self.mark_id = self._whole([self.mark])[0]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, parts: list[str], tokenizer) -> list[bytes]:
+        """Ids of many short strings: some hundreds at a time as one text, with a marking word between."""
+        if len(self.mark_id) != 4 or any(self.mark in p for p in parts):
+            return self._whole(parts)
+        mark = int(np.frombuffer(self.mark_id, "<u4")[0])
+        out: list[bytes] = []
+        for e in tokenizer.encode_batch_fast([f" {self.mark} ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for cut in (4 * np.flatnonzero(ids == mark)).tolist():
+                out.append(data[at:cut])
+                at = cut + 4
+            out.append(data[at:])
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        chunks = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        cache = self.cache
-        new = list({c for c in chunks if c not in cache})
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            new = list(set(chunks))
-        cache.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(cache.__getitem__, chunks))
+    def _learn(self, new: set[str]) -> None:
+        if len(self.chunks) + len(new) > CACHE_ENTRIES:
+            self.chunks.clear()
+            self.words.clear()
+        words, plain, other = self.words, [], []
+        for c in new:
+            (plain if c.isascii() or max(c) < "\u0250" else other).append(c)
+        split = [[w] if (w := c.lower()).isalpha() else self.split(w) for c in plain]
+        unknown = list({w for ws in split for w in ws if w not in words})
+        words.update(zip(unknown, self._each(unknown, self.bare), strict=True))
+        self.chunks.update((c, b"".join([words[w] for w in ws])) for c, ws in zip(plain, split, strict=True))
+        self.chunks.update(zip(other, self._each(other, self.tokenizer), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        chunks, out = self.chunks, []
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(s in t for s in self.special) for t in texts]
+        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        every = set().union(*split)
+        self._learn(every.difference(chunks))
+        self._learn(every.difference(chunks))  # empty, unless the caches were emptied meanwhile
+        for t, o, ws in zip(texts, odd, split, strict=True):
+            out.append(self._whole([t])[0] if o else b"".join(map(chunks.__getitem__, ws)))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,18 +234,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """Token pieces of documents: PIECES, with the rank among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # millions of strings and no cycles
         encoder, task, ranks = _encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("local", pa.int64())])
         step = 4 * capacity
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, "text")):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = (encoder.encode(text) if text else b"") + b"\0\0\0\0"
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     n = len(part) // 4
