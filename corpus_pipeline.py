@@ -1,13 +1,65 @@
-"""Pipeline over documents; stages are added as their operators arrive."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewright.llm import decontam, linededup, neardup, packing, toxicity
+from tidewright.llm.common import held_out, load, shared_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold; the rest go. What is learned comes from the labels of documents that are still there."""
+    model = toxicity.train(docs, load(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out("doc_id", 4, 2)))
+    return toxicity.clean(docs, model)
+
+
+def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with repeated chunks of lines taken out of their texts; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    return linededup.line_dedup(docs).drop("removed_chunks").withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    return neardup.one_of_each(docs)
+
+
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.decontaminated(docs, load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("line_dedup", stage_line_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("decontamination", stage_decontamination),
+    ("packing", stage_packing),
+]
+
+#: Learned models, rolling hashes and a tokenizer: SQL can't express the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{place}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

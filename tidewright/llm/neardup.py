@@ -225,3 +225,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller doc_id; columns and other rows as they are.
+
+    Rows without doc_id and rows that repeat a kept doc_id stay.
+    """
+    gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

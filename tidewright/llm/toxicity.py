@@ -304,6 +304,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] = FIT_DOC
     return pickle.loads(models[0]["model"]) if models else None
 
 
+class Scorer:
+    """A model at work in one task."""
+
+    def __init__(self, model: dict) -> None:
+        self.curve, self.hasher = model["curve"], SpanHasher()
+        self.symbols, self.lexicon = Symbols(Lexicon(model["lexicon"])), Lexicon(np.concatenate((model["lexicon"], threat_hashes())))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        texts = [t or "" for t in texts]
+        x = np.zeros((len(texts), 3))
+        x[:, 0] = 1
+        for i in self.lexicon.texts(texts, self.hasher):
+            x[i, 1:] = evidence(texts[i], self.symbols)
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
+
+
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id and score (0 to 1) of every document (doc_id, text; further columns are ignored).
 
@@ -312,17 +328,10 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": np.zeros(0, np.uint64), "curve": np.array([-30.0, 0.0, 0.0])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = shared.value, SpanHasher()
-        symbols, lexicon = Symbols(Lexicon(m["lexicon"])), Lexicon(np.concatenate((m["lexicon"], threat_hashes())))
+        scorer = Scorer(shared.value)
         for whole in batches:
             for batch in sliced(whole, "text"):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                x = np.zeros((len(texts), 3))
-                x[:, 0] = 1
-                for i in lexicon.texts(texts, hasher):
-                    x[i, 1:] = evidence(texts[i], symbols)
-                p = 1 / (1 + np.exp(-np.clip(x @ m["curve"], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -331,3 +340,19 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, load(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out("doc_id", 4, 2)))
     return score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more; columns and other rows as they are.
+
+    Scoring and choosing are one pass over the rows: nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": np.zeros(0, np.uint64), "curve": np.array([-30.0, 0.0, 0.0])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                yield batch.filter(pa.array(scorer.scores(batch.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
