@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidewright.plans.sync_queries import QUERIES as SYNC
+
+EVERY = {**SYNC}
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in EVERY.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in EVERY.items() if sql}
