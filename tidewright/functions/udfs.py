@@ -8,8 +8,15 @@ from pyspark.sql import types as T
 
 from tidewright.functions import codec
 
+# Types are built here, not parsed: this module is also imported where no session is.
+STRING, BINARY, LONG, INT, U64 = T.StringType(), T.BinaryType(), T.LongType(), T.IntegerType(), T.DecimalType(20, 0)
 
-@F.pandas_udf("string")
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+@F.pandas_udf(STRING)
 def fnv1a64_hex(data: pd.Series) -> pd.Series:
     """16 hexadecimal digits of the hash of bytes; null for null."""
     some = data.notna()
@@ -18,7 +25,7 @@ def fnv1a64_hex(data: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def varint_bytes(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if pd.isna(v) else codec.varint(int(v)))
 
@@ -26,7 +33,7 @@ def varint_bytes(value: pd.Series) -> pd.Series:
 def delta_bytes(kind: str, chunk: int = 1024, max_gap: int = 0):
     """A UDF (old, new) -> payload of one kind; null without an old state or where lengths don't allow the kind."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BINARY)
     def run(old: pd.Series, new: pd.Series) -> pd.Series:
         fits = lambda a, b: a is not None and b is not None and (kind in ("splice", "chunks") or len(a) == len(b))
         return pd.Series([codec.encode_delta(kind, a, b, chunk, max_gap) if fits(a, b) else None for a, b in zip(old, new, strict=True)], dtype=object)
@@ -49,7 +56,7 @@ def candidate_lengths(chunk: int = 1024, max_gap: int = 0):
     return F.pandas_udf(lengths, CANDIDATE_LENGTHS)
 
 
-@F.pandas_udf("previous_len long, current_len long, changed_bytes long, changed_runs long, common_prefix long, common_suffix long")
+@F.pandas_udf(_struct(previous_len=LONG, current_len=LONG, changed_bytes=LONG, changed_runs=LONG, common_prefix=LONG, common_suffix=LONG))
 def change_profile(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     import numpy as np
 
@@ -66,7 +73,7 @@ def change_profile(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["previous_len", "current_len", "changed_bytes", "changed_runs", "common_prefix", "common_suffix"])
 
 
-@F.pandas_udf("state binary, error string")
+@F.pandas_udf(_struct(state=BINARY, error=STRING))
 def apply_delta(base: pd.Series, payload: pd.Series) -> pd.DataFrame:
     """The new state, or the error's kind."""
     rows = []
@@ -78,14 +85,14 @@ def apply_delta(base: pd.Series, payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["state", "error"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def encode_packet(kind: pd.Series, sequence: pd.Series, base_sequence: pd.Series, base_hash: pd.Series, schema_hash: pd.Series, payload: pd.Series) -> pd.Series:
     """Wire bytes of packets; hashes come as hexadecimal digits."""
     rows = zip(kind, sequence, base_sequence, base_hash, schema_hash, payload, strict=True)
     return pd.Series([codec.encode_packet(codec.Packet(k, int(s), int(b), int(bh, 16), int(sh, 16), bytes(p))) for k, s, b, bh, sh, p in rows], dtype=object)
 
 
-@F.pandas_udf("kind string, flags int, version int, sequence decimal(20,0), base_sequence decimal(20,0), base_hash string, schema_hash string, payload binary, error string")
+@F.pandas_udf(_struct(kind=STRING, flags=INT, version=INT, sequence=U64, base_sequence=U64, base_hash=STRING, schema_hash=STRING, payload=BINARY, error=STRING))
 def decode_packet(wire: pd.Series) -> pd.DataFrame:
     """Packet fields, or the error's kind."""
     from decimal import Decimal
@@ -100,7 +107,7 @@ def decode_packet(wire: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "flags", "version", "sequence", "base_sequence", "base_hash", "schema_hash", "payload", "error"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def zstd_payload(payload: pd.Series) -> pd.Series:
     """The payload compressed where that pays, else null."""
     out = []
@@ -110,6 +117,6 @@ def zstd_payload(payload: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BINARY)
 def unzstd_payload(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: None if p is None else codec.logical_payload(codec.Packet("snapshot", 0, 0, 0, 0, bytes(p), codec.FLAG_ZSTD)))

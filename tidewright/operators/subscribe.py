@@ -17,9 +17,10 @@ OUTCOMES = "client_id long, arrival long, seq long, outcome string, local_seq lo
 def classify(deliveries: DataFrame) -> DataFrame:
     """Outcome of each delivery (client_id, arrival, seq, kind) when sequences never fall but by repetition.
 
-    A sequence not above an earlier one is a duplicate. The rest form islands of
-    consecutive sequences; a packet is applied if its island has a snapshot at or
-    before it, else a snapshot is needed. A snapshot begins an island.
+    Deliveries above all before form islands of consecutive sequences; a packet
+    is applied if its island has a snapshot at or before it, else a snapshot is
+    needed. A snapshot begins an island. A repeat is a duplicate if something as
+    high was applied, and needs a snapshot as its first delivery did if not.
     """
     w = W.partitionBy("client_id").orderBy("arrival")
     seen = deliveries.withColumn("top", F.max("seq").over(w.rowsBetween(W.unboundedPreceding, -1)))
@@ -28,9 +29,12 @@ def classify(deliveries: DataFrame) -> DataFrame:
     island = new.withColumn("island", F.sum("starts").over(w))
     good = F.max(F.when(F.col("kind") == "snapshot", 1).otherwise(0)).over(W.partitionBy("client_id", "island").orderBy("arrival"))
     judged = island.withColumn("outcome", F.when(good == 1, "applied").otherwise("need_snapshot"))
-    again = fresh.where("not fresh").withColumn("outcome", F.lit("duplicate"))
+    again = fresh.where("not fresh").withColumn("outcome", F.lit(None).cast("string"))
     columns = ["client_id", "arrival", "seq", "kind", "outcome"]
-    return judged.select(*columns).unionByName(again.select(*columns))
+    every = judged.select(*columns).unionByName(again.select(*columns))
+    local = F.max(F.when(F.col("outcome") == "applied", F.col("seq"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    repeat = F.when(F.coalesce(F.col("seq") <= F.col("local"), F.lit(False)), "duplicate").otherwise("need_snapshot")
+    return every.withColumn("local", local).select("client_id", "arrival", "seq", "kind", F.coalesce("outcome", repeat).alias("outcome"))
 
 
 class Chain:

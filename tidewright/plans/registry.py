@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from tidewright.plans.chain_queries import QUERIES as CHAINS
 from tidewright.plans.sync_queries import QUERIES as SYNC
 
-EVERY = {**SYNC}
+EVERY = {**SYNC, **CHAINS}
 
 
 def queries() -> dict:
