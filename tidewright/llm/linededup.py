@@ -7,12 +7,14 @@ once in the corpus are compared byte by byte; all occurrences but the first go.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm.common import load, sliced, stored
 
@@ -93,7 +95,7 @@ def _digests(docs: DataFrame) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], schema=schema)
 
-    some = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return some.mapInArrow(run, "doc_id long, off long, len long, h1 long, h2 long")
 
 
@@ -111,13 +113,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     leaves each task once.
     """
     docs = docs.drop("removed_chunks")
+    extra = "spans_" + uuid.uuid4().hex  # no column of the input has this name
     key = ["h1", "h2", "len"]
     found = stored(_digests(docs), "chunks")
     repeated = found.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "off")).alias("first")).where("m > 1")
     spots = found.join(repeated.drop("m"), key).select("doc_id", F.struct("off", *key, (F.struct("doc_id", "off") == F.col("first")).alias("stays")).alias("span"))
-    spans = spots.groupBy("doc_id").agg(F.collect_set("span").alias("_spans"))
-    marked = stored(docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans"), "marked")
-    place = marked.where("_spans is not null").select(F.col("text").cast("binary").alias("b"), F.explode("_spans").alias("s"))
+    spans = spots.groupBy("doc_id").agg(F.collect_set("span").alias(extra))
+    marked = stored(docs.join(spans, "doc_id", "left").select(*docs.columns, extra), "marked")
+    place = marked.where(F.col(extra).isNotNull()).select(F.col("text").cast("binary").alias("b"), F.explode(extra).alias("s"))
     pieces = place.select("s.h1", "s.h2", "s.len", F.substring("b", F.col("s.off").cast("int") + 1, F.col("s.len").cast("int")).alias("bytes"))
     variants = pieces.groupBy(*key, "bytes").agg(F.lit(1).alias("one"))
     wrong = stored(variants.groupBy(*key).agg(F.count("*").alias("v")).where("v > 1").drop("v"), "collisions")
@@ -128,15 +131,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in sliced(whole, "text", 1 << 23):
                 texts, counts = batch.column("text").to_pylist(), []
-                for i, spans in enumerate(batch.column("_spans").to_pylist()):
+                for i, spans in enumerate(batch.column(extra).to_pylist()):
                     go = [(s["off"], s["len"]) for s in spans or () if not s["stays"] and (s["h1"], s["h2"], s["len"]) not in clash]
                     counts.append(len(go))
                     if go and texts[i] is not None:
                         texts[i] = without(texts[i].encode(), go).decode()
-                columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in batch.schema if f.name != "_spans"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*(f.name for f in batch.schema if f.name != "_spans"), "removed_chunks"])
-
-    from pyspark.sql import types as T
+                columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in batch.schema if f.name != extra]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*(f.name for f in batch.schema if f.name != extra), "removed_chunks"])
 
     return marked.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed_chunks", T.LongType())]))
 

@@ -58,10 +58,10 @@ def shingle_sets(column: pa.Array, k: int, hasher: SpanHasher) -> list[np.ndarra
     hasher.load(data)
     starts, ends, first = word_spans(data, offsets)
     words = hasher.spans(starts, ends)
-    n = len(words)
-    rolled = np.zeros(max(n - k + 1, 0), np.uint64)
+    n = max(len(words) - k + 1, 0)
+    rolled = np.zeros(n, np.uint64)
     for j in range(k):
-        rolled = rolled * _MULT + words[j : n - k + 1 + j]
+        rolled = rolled * _MULT + words[j : j + n]
     rolled = mixed(rolled)
     out = []
     for i in range(len(offsets) - 1):
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), bands], ["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     member = stored(rows.join(shared, "key", "left_semi").withColumn("c", F.col("doc_id")), "buckets")
-    texts = stored(docs.select("doc_id", "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
     joined, turn = None, 0
     while True:

@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 logit = total / np.maximum(sum(sizes), 1) + m["bias"]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-logit)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op6_quality_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
