@@ -450,3 +450,16 @@ def local_bus(spark, sf_dir):
     bus.publish(got.withColumn("topic", F.lit("other")))
     out = session.run_to_table(spark, bus.subscribe(["ticks"]), f"{place}/got")
     return out.select("topic", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("generated_states")
+def generated_states(spark, sf_dir):
+    """High-entropy states of both register forms and their scattered mutations, by hash and changed bytes."""
+    from tidewright.functions.udfs import change_profile, fnv1a64_hex
+
+    rows = []
+    for name, shifts in (("wide", (13, 7, 17)), ("narrow", (7, 9, 8))):
+        old = simulate.entropy_bytes(4096, shifts)
+        rows += [(name, u, bytearray(old), bytearray(old := simulate.scattered(old, u, 41))) for u in range(8)]
+    df = spark.createDataFrame(rows, "form string, step int, old binary, state binary")
+    return df.select("form", "step", fnv1a64_hex("state").alias("hash"), change_profile("old", "state")["changed_bytes"].alias("changed_bytes"))

@@ -371,3 +371,33 @@ def transport_envelopes(spark, sf_dir):
 def formatted_sizes(spark, sf_dir):
     n = F.octet_length("html")
     return table(spark, sf_dir, "pages").select("page_id", X.format_size(n).alias("size"), X.format_size(n, "").alias("narrow"))
+
+
+@query("reconstruction_fixed", f"WITH {LINES_SQL} SELECT k AS kind, count(*) AS updates, count(*) AS same, CAST(0 AS BIGINT) AS errors FROM pairs CROSS JOIN (SELECT unnest(['sparse', 'ranges', 'xor', 'splice', 'chunks']) AS k) WHERE old IS NOT NULL GROUP BY k")
+def reconstruction_fixed(spark, sf_dir):
+    """Every fixed-length state comes back from its delta of each kind."""
+    lines = streams.order_lines(table(spark, sf_dir, "orders"))
+    out = None
+    for kind in codec.CODES:
+        part = diff.reconstructed(lines, kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("updates"), F.count_if("same").alias("same"), F.count("error").alias("errors"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _malformed() -> list[tuple[str, bytes]]:
+    wire = codec.encode_packet(codec.snapshot(1, b"state", 0))
+    return [
+        ("whole", wire), ("empty", b""), ("short", wire[:45]), ("magic", b"XX" + wire[2:]), ("version", wire[:2] + b"\x09" + wire[3:]), ("kind", wire[:3] + b"\x09" + wire[4:]), ("flags", wire[:4] + b"\xff\xff" + wire[6:]),
+        ("truncated", wire[:-1]), ("trailing", wire + b"x"), ("checksum", wire[:-1] + b"X"), ("older", wire[:2] + b"\x02" + wire[3:]),
+    ]
+
+
+@query(
+    "packet_errors",
+    """SELECT unnest(['whole', 'empty', 'short', 'magic', 'version', 'kind', 'flags', 'truncated', 'trailing', 'checksum', 'older']) AS name,
+ unnest([NULL, 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'UnsupportedVersion', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'ChecksumMismatch', NULL]) AS error""",
+)
+def packet_errors(spark, sf_dir):
+    """Which error each kind of broken packet gives; versions 2 and 3 are read."""
+    rows = spark.createDataFrame([(n, bytearray(w)) for n, w in _malformed()], "name string, wire binary")
+    return rows.select("name", udfs.decode_packet("wire")["error"].alias("error"))
