@@ -27,10 +27,10 @@ from tidewright.llm.common import SpanHasher, held_out, load, sample_below, slic
 THRESHOLD = 0.3
 #: At most about so many labelled documents of each class are learned from.
 FIT_DOCS = {1: 3000, 0: 6000}
+PRIOR = 10
 #: Insults are learned as whole words and as stems of these lengths.
 STEMS = (4, 5, 6, 7, 8)
 CLAUSE = re.compile(r"[.!?;:\n|]+")
-WORD = re.compile(r"[^\W\d_]+")
 BITMAP = 22
 
 # Closed word classes of the four languages.
@@ -115,40 +115,38 @@ def grammar() -> Transducer:
 # ---- words as hashes -----------------------------------------------------------
 
 
-def word_hashes(texts: list[str], hasher: SpanHasher) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of all whole words, and of the stems of each length of longer words, with each one's text."""
-    texts = [t.lower() for t in texts]
-    joined = "\n".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    letter = np.zeros(len(codes) + 2, bool)
-    ascii_letter = (codes >= 97) & (codes <= 122)
-    letter[1:-1] = ascii_letter
-    beyond = np.flatnonzero(codes >= 128)
-    if len(beyond):
-        kinds, back = np.unique(codes[beyond], return_inverse=True)
-        letter[1 + beyond] = np.array([chr(c).isalpha() for c in kinds])[back]
-    starts = np.flatnonzero(letter[1:-1] & ~letter[:-2])
-    ends = np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
-    hasher.load(codes)
-    text = np.searchsorted(np.cumsum(lengths + 1), starts, "right")
-    hashes, owner = [~hasher.spans(starts, ends)], [text]
-    for k in STEMS:
-        long = ends - starts > k
-        hashes.append(hasher.spans(starts[long], starts[long] + k))
-        owner.append(text[long])
-    return hashes, owner
-
-
-_single = SpanHasher()
-
-
-def hash_of(word: str, stem: bool) -> int:
-    """The hash of a whole word, or of a stem of its length, as word_hashes gives it."""
-    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    _single.load(codes)
-    h = _single.spans(np.array([0]), np.array([len(codes)]))
-    return int(h[0] if stem else (~h)[0])
+class Words:
+    """The words of many texts, lower-cased: where they stand, whose they are and the hashes of wholes and stems."""
+
+    def __init__(self, texts: list[str], hasher: SpanHasher) -> None:
+        self.texts = [t.lower() for t in texts]
+        codes = np.frombuffer("\n".join(self.texts).encode("utf-32-le", "replace"), np.uint32)
+        self.begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.texts), np.int64, len(texts)) + 1)))
+        letter = np.zeros(len(codes) + 2, bool)
+        letter[1:-1] = (codes >= 97) & (codes <= 122)
+        beyond = np.flatnonzero(codes >= 128)
+        if len(beyond):
+            kinds, back = np.unique(codes[beyond], return_inverse=True)
+            letter[1 + beyond] = np.array([chr(c).isalpha() for c in kinds])[back]
+        self.starts = np.flatnonzero(letter[1:-1] & ~letter[:-2])
+        self.ends = np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+        self.first = np.searchsorted(self.starts, self.begins)
+        hasher.load(codes)
+        self.wholes = ~hasher.spans(self.starts, self.ends)
+        self.hasher = hasher
+
+    def stems(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each stem length the words that are longer, and their stems' hashes."""
+        for k in STEMS:
+            long = np.flatnonzero(self.ends - self.starts > k)
+            yield long, self.hasher.spans(self.starts[long], self.starts[long] + k)
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([self.wholes, *(h for _, h in self.stems())])
+
+
+def whole_hashes(words: list[str]) -> np.ndarray:
+    return Words(words, SpanHasher()).wholes
 
 
 class Lexicon:
@@ -165,50 +163,53 @@ class Lexicon:
         hit[at] = np.isin(hashes[at], self.hashes)
         return hit
 
-    def texts(self, texts: list[str], hasher: SpanHasher) -> np.ndarray:
-        """The numbers of the texts that have any of the lexicon's words."""
-        hashes, owner = word_hashes(texts, hasher)
-        return np.unique(np.concatenate([o[self.has(h)] for h, o in zip(hashes, owner, strict=True)]))
+    def marks(self, words: Words) -> np.ndarray:
+        """Whether each word is an insult, as a whole or by a stem."""
+        out = self.has(words.wholes)
+        for long, stems in words.stems():
+            out[long] |= self.has(stems)
+        return out
 
 
 CLOSED = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT), **dict.fromkeys(THREATS, THREAT)}
-
-
-class Symbols:
-    """Words to symbols, each different word looked up once."""
-
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.known: dict[str, int] = {}
-        self.insults = set(lexicon.hashes.tolist())
-
-    def of(self, word: str) -> int:
-        s = self.known.get(word)
-        if s is None:
-            s = CLOSED.get(word, OTHER)
-            if s == OTHER and (hash_of(word, False) in self.insults or any(len(word) > k and hash_of(word[:k], True) in self.insults for k in STEMS)):
-                s = INSULT
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = s
-        return s
-
-
-def matched(text: str, symbols: Symbols) -> list[tuple[int, int, float]]:
-    """The clauses that have an insult or a threat: begin, end and weight."""
-    out, at = [], 0
-    machine = grammar()
-    for end in [*(m.span() for m in CLAUSE.finditer(text)), (len(text), len(text))]:
-        read = [symbols.of(w) for w in WORD.findall(text[at : end[0]].lower())]
-        if INSULT in read or THREAT in read:
-            out.append((at, end[0], machine.weight(read)))
-        at = end[1]
-    return out
-
-
-def evidence(text: str, symbols: Symbols) -> tuple[float, float]:
-    """The heaviest clause's weight and the log of one more than all weights' sum."""
-    weights = [max(0.0, w) for _, _, w in matched(text, symbols)]
-    return max(weights, default=0.0), math.log1p(sum(weights))
+_THREATS = Lexicon(whole_hashes(sorted(THREATS)))
+
+
+class Matcher:
+    """Finds and weighs the clauses of texts that have an insult or a threat."""
+
+    def __init__(self, lexicon: np.ndarray) -> None:
+        self.lexicon, self.hasher, self.machine = Lexicon(lexicon), SpanHasher(), grammar()
+
+    def clauses(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """For each text that has any: its number and its matched clauses' begin, end (in the lower-cased text) and weight."""
+        words = Words(texts, self.hasher)
+        insult = self.lexicon.marks(words)
+        marked = np.flatnonzero(insult | _THREATS.has(words.wholes))
+        for i in np.unique(np.searchsorted(words.begins, words.starts[marked], "right") - 1):
+            text, a = words.texts[i], words.begins[i]
+            starts = words.starts[words.first[i] : words.first[i + 1]] - a
+            ends = words.ends[words.first[i] : words.first[i + 1]] - a
+            flags = insult[words.first[i] : words.first[i + 1]]
+            bounds = [m.span() for m in CLAUSE.finditer(text)]
+            lo = np.array([0, *(e for _, e in bounds)])
+            hi = np.array([*(s for s, _ in bounds), len(text)])
+            own = marked[(marked >= words.first[i]) & (marked < words.first[i + 1])] - words.first[i]
+            out = []
+            for c in np.unique(np.searchsorted(lo, starts[own], "right") - 1):
+                w0, w1 = np.searchsorted(starts, (lo[c], hi[c]))
+                read = [INSULT if f else CLOSED.get(text[s:e], OTHER) for s, e, f in zip(starts[w0:w1].tolist(), ends[w0:w1].tolist(), flags[w0:w1].tolist(), strict=True)]
+                out.append((int(lo[c]), int(hi[c]), self.machine.weight(read)))
+            yield int(i), out
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """For each text 1, the heaviest clause's weight, and the log of one more than all weights' sum."""
+        x = np.zeros((len(texts), 3))
+        x[:, 0] = 1
+        for i, found in self.clauses(texts):
+            weights = [max(0.0, w) for _, _, w in found]
+            x[i, 1:] = max(weights), math.log1p(sum(weights))
+        return x
 
 
 # ---- learning ------------------------------------------------------------------
@@ -227,7 +228,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> np.ndarray:
 
     def seen(texts: list[str]) -> Iterator[np.ndarray]:
         for t in texts:
-            yield np.unique(np.concatenate(word_hashes([t], hasher)[0]))
+            yield np.unique(Words([t], hasher).hashes())
 
     runs, parts = [], []
     for h in seen(toxic):
@@ -258,13 +259,11 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     """The lexicon and the logistic curve over a document's evidence."""
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     lexicon = learn_lexicon(toxic, [t for t, y in zip(texts, labels, strict=True) if not y])
-    symbols = Symbols(Lexicon(lexicon))
-    hasher, lex = SpanHasher(), Lexicon(np.concatenate((lexicon, threat_hashes())))
-    hit = np.zeros(len(texts), bool)
-    for i, t in enumerate(texts):
-        hit[i] = len(lex.texts([t], hasher)) > 0
-    x = np.array([(1.0, *(evidence(t, symbols) if h else (0.0, 0.0))) for t, h in zip(texts, hit, strict=True)])
-    y = np.array(labels, float)
+    matcher = Matcher(lexicon)
+    x = np.concatenate([matcher.evidence(texts[i : i + 64]) for i in range(0, len(texts), 64)])
+    # a few clean rows of no evidence: with hardly a label a text that matches nothing still isn't toxic
+    x = np.concatenate((x, np.tile([1.0, 0.0, 0.0], (PRIOR, 1))))
+    y = np.array([*labels, *[0] * PRIOR], float)
     b = np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -273,10 +272,6 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     return {"lexicon": lexicon, "curve": b}
 
 
-def threat_hashes() -> np.ndarray:
-    return np.array([hash_of(w, False) for w in sorted(THREATS)], np.uint64)
-
-
 def train(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] = FIT_DOCS) -> dict | None:
     """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text); null labels and ids are left out.
 
@@ -308,16 +303,10 @@ class Scorer:
     """A model at work in one task."""
 
     def __init__(self, model: dict) -> None:
-        self.curve, self.hasher = model["curve"], SpanHasher()
-        self.symbols, self.lexicon = Symbols(Lexicon(model["lexicon"])), Lexicon(np.concatenate((model["lexicon"], threat_hashes())))
+        self.curve, self.matcher = model["curve"], Matcher(model["lexicon"])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        texts = [t or "" for t in texts]
-        x = np.zeros((len(texts), 3))
-        x[:, 0] = 1
-        for i in self.lexicon.texts(texts, self.hasher):
-            x[i, 1:] = evidence(texts[i], self.symbols)
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.matcher.evidence([t or "" for t in texts]) @ self.curve, -30, 30)))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -333,7 +322,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             for batch in sliced(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
