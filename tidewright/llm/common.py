@@ -38,8 +38,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``stored``, once nothing needs it."""
+def dropped(df: DataFrame | None) -> None:
+    """Delete the files behind a table made by ``stored``, once nothing reads it any more."""
+    if df is None:
+        return
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

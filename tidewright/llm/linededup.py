@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import load, sliced, stored
+from tidewright.llm.common import dropped, load, sliced, stored
 
 WINDOW = 2
 #: A boundary follows one window in so many.
@@ -120,6 +120,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     spots = found.join(repeated.drop("m"), key).select("doc_id", F.struct("off", *key, (F.struct("doc_id", "off") == F.col("first")).alias("stays")).alias("span"))
     spans = spots.groupBy("doc_id").agg(F.collect_set("span").alias(extra))
     marked = stored(docs.join(spans, "doc_id", "left").select(*docs.columns, extra), "marked")
+    dropped(found)
     place = marked.where(F.col(extra).isNotNull()).select(F.col("text").cast("binary").alias("b"), F.explode(extra).alias("s"))
     pieces = place.select("s.h1", "s.h2", "s.len", F.substring("b", F.col("s.off").cast("int") + 1, F.col("s.len").cast("int")).alias("bytes"))
     variants = pieces.groupBy(*key, "bytes").agg(F.lit(1).alias("one"))
