@@ -1 +1,43 @@
 """Spark-native analytics over ordered state streams."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give this package's code to the executors of ``spark``, once for each application.
+
+    Functions that run on executors are found by their module's name; where the
+    executors' Python doesn't have the package on its path, it comes from here.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(here.parent))), p.read_bytes())
+    code = buffer.getvalue()
+    path = Path(tempfile.mkdtemp(prefix="tidewright-")) / f"tidewright-{hashlib.sha256(code).hexdigest()[:16]}.zip"
+    path.write_bytes(code)
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
+def shipping(f):
+    """``f`` (spark, ...), with the code given to the executors first."""
+
+    def run(spark, *args):
+        ship(spark)
+        return f(spark, *args)
+
+    run.__name__, run.__doc__ = getattr(f, "__name__", "run"), f.__doc__
+    return run

@@ -442,7 +442,7 @@ def streaming_dedup(spark, sf_dir):
 @query("local_bus", "SELECT 'ticks' AS topic, CAST(i AS VARCHAR) AS payload FROM range(1000) t(i)")
 def local_bus(spark, sf_dir):
     """Messages of the in-process source, through the file bus."""
-    spark.dataSource.register(transports.LocalBusSource)
+    transports.register(spark)
     place = _place(spark)
     got = session.run_to_table(spark, spark.readStream.format("local_bus").option("total", 1000).option("batch", 1000).load(), f"{place}/ticks")
     bus = transports.FileBus(spark, f"{place}/bus")

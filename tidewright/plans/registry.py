@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewright import shipping
 from tidewright.plans.chain_queries import QUERIES as CHAINS
 from tidewright.plans.sync_queries import QUERIES as SYNC
 
@@ -9,7 +10,7 @@ EVERY = {**SYNC, **CHAINS}
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in EVERY.items()}
+    return {name: shipping(f) for name, (f, _) in EVERY.items()}
 
 
 def oracle_sql() -> dict:

@@ -8,7 +8,9 @@ optional and named only when asked for.
 from __future__ import annotations
 
 import importlib
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -71,6 +73,12 @@ class LocalBusSource(DataSource):
         return _Ticks(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Make ``local_bus`` known to the session. The class travels by value: the processes that plan a source don't get shipped code."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(LocalBusSource)
+
+
 #: Client library that each broker's sink needs.
 CLIENTS = {"mqtt": "paho.mqtt.client", "nats": "nats", "websocket": "websockets", "pubnub": "pubnub"}
 
