@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright import shipping
 from tidewright.llm import decontam, linededup, neardup, packing, toxicity
 from tidewright.llm.common import held_out, load, shared_dir
 
@@ -43,11 +44,11 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("toxicity", stage_toxicity),
-    ("line_dedup", stage_line_dedup),
-    ("near_dedup", stage_near_dedup),
-    ("decontamination", stage_decontamination),
-    ("packing", stage_packing),
+    ("toxicity", shipping(stage_toxicity)),
+    ("line_dedup", shipping(stage_line_dedup)),
+    ("near_dedup", shipping(stage_near_dedup)),
+    ("decontamination", shipping(stage_decontamination)),
+    ("packing", shipping(stage_packing)),
 ]
 
 #: Learned models, rolling hashes and a tokenizer: SQL can't express the stages.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from tidewright import shipping
 from tidewright.llm import ann, decontam, html_text, langid, linededup, neardup, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
-    return {
+    every = {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_robust_pruned_graph": ann.op2_robust_pruned_graph,
         "op3_nearest_url_differencing": html_text.op3_nearest_url_differencing,
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_warc_content_addressed": warc.op10_warc_content_addressed,
     }
+    return {name: shipping(f) for name, f in every.items()}
 
 
 def oracle_sql() -> dict:
