@@ -7,7 +7,8 @@ along stars, so candidate edges are as many as bucket rows, never pairs of a
 bucket. Every candidate edge is confirmed on the full sets. A star's centre may
 be like none of two members that are like each other; so buckets whose members
 are still in several components get new stars, until a turn over all of them
-finds no link.
+finds no link. The first few bands go first: what they join needs no comparing
+in the other bands.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SpanHasher, load, mixed, sliced, stored, utf8
+from tidewright.llm.common import SpanHasher, dropped, load, mixed, sliced, stored, utf8
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
+#: Bands compared first; what they link needs no comparing in the others.
+FIRST_BANDS = 6
 #: Most members beside the centre in one confirming group.
 GROUP = 64
 
@@ -166,7 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        old, now = now, stored(small, "edges")
+        dropped(old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
@@ -192,12 +196,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = sketch.where("n > 0 and doc_id is not null")
     classes = stored(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = keyed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select("doc_id", "n", F.explode("bands").alias("key"))
+    rows = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    member = stored(rows.join(shared, "key", "left_semi").withColumn("c", F.col("doc_id")), "buckets")
-    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(member.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    every = stored(rows.join(shared, "key", "left_semi").withColumn("c", F.col("doc_id")), "buckets")
+    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(every.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    joined, turn = None, 0
+    member, joined, turn = every.where(F.col("band") < FIRST_BANDS), None, 0
     while True:
         # the first centres are least ids, which most buckets of a group share; later ones are as good as drawn
         rank = F.lit(0) if not turn else F.xxhash64("key", "doc_id", F.lit(turn))
@@ -205,17 +209,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         star = stored(member.join(centre, "key"), "stars")
         edges = star.where(f"c != ac and 100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
         found = stored(confirmed(edges, texts, k, percent), "links")
-        if turn and found.isEmpty():
+        if turn > 1 and found.isEmpty():
             break
         links = found if joined is None else found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-        joined = components(links)
+        old, joined = joined, components(links)
+        dropped(found)
+        dropped(old)
         # a centre is done with; a bucket goes on while the others are in more than one component
-        left = star.where("doc_id != a").select("key", "doc_id", "n").join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
-        mixed_keys = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        member = stored(left.join(mixed_keys, "key", "left_semi"), "buckets")
+        left = star.where("doc_id != a").select("key", "doc_id", "n")
+        if not turn:
+            left = left.unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
+        left = left.join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+        several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+        old, member = member, stored(left.join(several, "key", "left_semi"), "buckets")
+        dropped(old if turn else every)
+        dropped(star)
         if member.isEmpty():
             break
         turn += 1
+    dropped(texts)
     name = classes.join(joined, classes.rep == joined.doc_id, "left").select("n", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketch.join(name, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
