@@ -243,7 +243,7 @@ def test_lexicon_learns_words_and_stems():
     toxic = [" ".join(word() for _ in range(30)) + f" zorkel{word()} " + "snarg" for _ in range(60)]
     clean = [" ".join(word() for _ in range(30)) for _ in range(300)]
     m = toxicity.Matcher(toxicity.learn_lexicon(toxic, clean))
-    assert [i for i, _ in m.clauses(["a zorkelish thing", "Snarg!", "nothing here", "snow"])] == [0, 1]
+    assert [i for i, *_ in m.clauses(["a zorkelish thing", "Snarg!", "nothing here", "snow"])] == [0, 1]
 
 
 # ---- lines ----

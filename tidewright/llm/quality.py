@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SpanHasher, held_out, load, sample_below, sliced, utf8
+from tidewright.llm.common import SpanHasher, held_out, load, mixed, sample_below, sliced, utf8
 from tidewright.llm.neardup import word_spans
 
 BITS = 18
 DIM = 12
 GRAMS = (3, 4)
+#: The feature of a word that follows itself.
+TWICE = 7
 #: At most about so many labelled documents are fitted on.
 FIT_DOCS = 4000
 EPOCHS, RATE = 8, 0.5
@@ -32,7 +34,7 @@ THRESHOLD = 0.3
 def features(column: pa.Array, hasher: SpanHasher) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Hashed features of texts, one array for words and one for each n-gram length, and how many of each a text has.
 
-    Every byte that begins a word gives that word; every byte gives the byte
+    Every word gives itself and the pair with the next; every byte gives the byte
     n-grams that start there and stay in the text. Case and marks are kept: they
     tell good from bad.
     """
@@ -40,10 +42,16 @@ def features(column: pa.Array, hasher: SpanHasher) -> tuple[list[np.ndarray], li
     hasher.load(data)
     starts, ends, first = word_spans(data, offsets)
     shift = np.uint64(64 - BITS)
-    words = (hasher.spans(starts, ends) >> shift).astype(np.int32)
+    whole = hasher.spans(starts, ends)
+    words = (whole >> shift).astype(np.int32)
     n = len(data)
     codes = data.astype(np.uint32)
-    parts, sizes = [words], [np.diff(first)]
+    # pairs of neighbouring words; a word twice is one pair, whatever the word
+    pairs = (mixed(whole[:-1] * np.uint64(3) + whole[1:]) >> shift).astype(np.int32)
+    pairs[whole[:-1] == whole[1:]] = TWICE
+    within = np.ones(len(pairs), bool)
+    within[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(words))] - 1] = False
+    parts, sizes = [words, pairs[within]], [np.diff(first), np.maximum(np.diff(first) - 1, 0)]
     for g in GRAMS:
         m = max(n - g + 1, 0)
         h = np.full(m, g, np.uint32)

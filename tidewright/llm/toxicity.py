@@ -28,6 +28,10 @@ THRESHOLD = 0.3
 #: At most about so many labelled documents of each class are learned from.
 FIT_DOCS = {1: 3000, 0: 6000}
 PRIOR = 10
+#: Least share of toxic ones among the documents of a lexicon word, and the log odds ratio from which its strength is 1.
+LEAST_SHARE, FULL_ODDS = 0.3, 6.0
+#: Texts that share so many least hashes of words and stems count as copies.
+COPY_MARK = 3
 #: Insults are learned as whole words and as stems of these lengths.
 STEMS = (4, 5, 6, 7, 8)
 CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -150,24 +154,29 @@ def whole_hashes(words: list[str]) -> np.ndarray:
 
 
 class Lexicon:
-    """Insult hashes, behind a bitmap that most words don't pass."""
+    """Hashes of insults and their strengths (0 to 1), behind a bitmap that most words don't pass."""
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(np.unique(hashes))
+    def __init__(self, hashes: np.ndarray, strengths: np.ndarray | None = None) -> None:
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.strengths = np.ones(len(hashes)) if strengths is None else strengths[order]
         self.bits = np.zeros(1 << BITMAP, bool)
         self.bits[self.hashes >> np.uint64(64 - BITMAP)] = True
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        hit = self.bits[hashes >> np.uint64(64 - BITMAP)]
-        at = np.flatnonzero(hit)
-        hit[at] = np.isin(hashes[at], self.hashes)
-        return hit
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's strength, 0 for those that aren't here."""
+        out = np.zeros(len(hashes))
+        at = np.flatnonzero(self.bits[hashes >> np.uint64(64 - BITMAP)])
+        if len(at):
+            k = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+            out[at] = np.where(self.hashes[k] == hashes[at], self.strengths[k], 0.0)
+        return out
 
     def marks(self, words: Words) -> np.ndarray:
-        """Whether each word is an insult, as a whole or by a stem."""
-        out = self.has(words.wholes)
+        """Each word's strength as an insult: the largest of the whole word's and its stems'."""
+        out = self.of(words.wholes)
         for long, stems in words.stems():
-            out[long] |= self.has(stems)
+            out[long] = np.maximum(out[long], self.of(stems))
         return out
 
 
@@ -178,14 +187,14 @@ _THREATS = Lexicon(whole_hashes(sorted(THREATS)))
 class Matcher:
     """Finds and weighs the clauses of texts that have an insult or a threat."""
 
-    def __init__(self, lexicon: np.ndarray) -> None:
-        self.lexicon, self.hasher, self.machine = Lexicon(lexicon), SpanHasher(), grammar()
+    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray]) -> None:
+        self.lexicon, self.hasher, self.machine = Lexicon(*lexicon), SpanHasher(), grammar()
 
-    def clauses(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-        """For each text that has any: its number and its matched clauses' begin, end (in the lower-cased text) and weight."""
+    def clauses(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, float]], int]]:
+        """For each text that has any: its number, its matched clauses' begin, end (in the lower-cased text) and weight, and its words."""
         words = Words(texts, self.hasher)
         insult = self.lexicon.marks(words)
-        marked = np.flatnonzero(insult | _THREATS.has(words.wholes))
+        marked = np.flatnonzero((insult > 0) | (_THREATS.of(words.wholes) > 0))
         for i in np.unique(np.searchsorted(words.begins, words.starts[marked], "right") - 1):
             text, a = words.texts[i], words.begins[i]
             starts = words.starts[words.first[i] : words.first[i + 1]] - a
@@ -199,36 +208,42 @@ class Matcher:
             for c in np.unique(np.searchsorted(lo, starts[own], "right") - 1):
                 w0, w1 = np.searchsorted(starts, (lo[c], hi[c]))
                 read = [INSULT if f else CLOSED.get(text[s:e], OTHER) for s, e, f in zip(starts[w0:w1].tolist(), ends[w0:w1].tolist(), flags[w0:w1].tolist(), strict=True)]
-                out.append((int(lo[c]), int(hi[c]), self.machine.weight(read)))
-            yield int(i), out
+                strength = max(flags[w0:w1].tolist()) or 1.0  # of threats alone: 1
+                out.append((int(lo[c]), int(hi[c]), strength * self.machine.weight(read)))
+            yield int(i), out, len(starts)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text 1, the heaviest clause's weight, and the log of one more than all weights' sum."""
-        x = np.zeros((len(texts), 3))
+        """For each text 1, the heaviest clause's weight, and the logs of one more than all weights' sum and than their sum for 100 words."""
+        x = np.zeros((len(texts), 4))
         x[:, 0] = 1
-        for i, found in self.clauses(texts):
+        for i, found, words in self.clauses(texts):
             weights = [max(0.0, w) for _, _, w in found]
-            x[i, 1:] = max(weights), math.log1p(sum(weights))
+            x[i, 1:] = max(weights), math.log1p(sum(weights)), math.log1p(100 * sum(weights) / words)
         return x
 
 
 # ---- learning ------------------------------------------------------------------
 
 
-def learn_lexicon(toxic: list[str], clean: list[str]) -> np.ndarray:
-    """Hashes of the words and stems that toxic documents have far more often than chance explains.
+def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and strengths of the words and stems that toxic documents have far more often than chance explains.
 
-    A word in k toxic of m documents stays if k/m is over 0.6 and so large a
+    A word in k toxic of m documents stays if k/m is over 0.3 and so large a
     share, at the classes' base rate, is less likely than 1 in e^4 for all
-    candidate words together (by the Chernoff bound).
+    candidate words together (by the Chernoff bound). Copies are no independent
+    evidence: of texts with the same least hashes one counts.
     """
     if not toxic:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0)
     hasher = SpanHasher()
 
     def seen(texts: list[str]) -> Iterator[np.ndarray]:
+        before = set()
         for t in texts:
-            yield np.unique(Words([t], hasher).hashes())
+            h = np.unique(Words([t], hasher).hashes())
+            if (mark := tuple(h[:COPY_MARK].tolist())) not in before:
+                before.add(mark)
+                yield h
 
     runs, parts = [], []
     for h in seen(toxic):
@@ -252,7 +267,9 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> np.ndarray:
     share = k / np.maximum(m, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = k * np.log(share / base) + np.where(n > 0, n * np.log((1 - share) / (1 - base)), 0.0)
-    return every[(share > max(0.6, base)) & (gain > math.log(max(len(every), 1)) + 4)]
+    good = (share > max(LEAST_SHARE, 2 * base)) & (gain > math.log(max(len(every), 1)) + 4)
+    odds = np.log((k[good] + 0.5) / (n[good] + 0.5)) - math.log(base / (1 - base))
+    return every[good], np.minimum(1.0, odds / FULL_ODDS)
 
 
 def fit(texts: list[str], labels: list[int]) -> dict:
@@ -262,12 +279,12 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     matcher = Matcher(lexicon)
     x = np.concatenate([matcher.evidence(texts[i : i + 64]) for i in range(0, len(texts), 64)])
     # a few clean rows of no evidence: with hardly a label a text that matches nothing still isn't toxic
-    x = np.concatenate((x, np.tile([1.0, 0.0, 0.0], (PRIOR, 1))))
+    x = np.concatenate((x, np.tile([1.0, 0.0, 0.0, 0.0], (PRIOR, 1))))
     y = np.array([*labels, *[0] * PRIOR], float)
-    b = np.zeros(3)
+    b = np.zeros(4)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4)
         b += np.linalg.solve(h, x.T @ (y - p) - 0.05 * b)
     return {"lexicon": lexicon, "curve": b}
 
@@ -314,7 +331,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     Null and empty texts have no matched clause: the curve's foot. Where nothing was learned that is 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": np.zeros(0, np.uint64), "curve": np.array([-30.0, 0.0, 0.0])})
+    shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": (np.zeros(0, np.uint64), np.zeros(0)), "curve": np.array([-30.0, 0.0, 0.0, 0.0])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -336,7 +353,7 @@ def clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
 
     Scoring and choosing are one pass over the rows: nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": np.zeros(0, np.uint64), "curve": np.array([-30.0, 0.0, 0.0])})
+    shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": (np.zeros(0, np.uint64), np.zeros(0)), "curve": np.array([-30.0, 0.0, 0.0, 0.0])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
