@@ -56,6 +56,15 @@ def candidate_lengths(chunk: int = 1024, max_gap: int = 0):
     return F.pandas_udf(lengths, CANDIDATE_LENGTHS)
 
 
+@F.pandas_udf(CANDIDATE_LENGTHS)
+def listed_lengths(old: pd.Series, new: pd.Series, kinds: pd.Series) -> pd.Series:
+    """Payload lengths of the listed kinds alone, ranked in the list's order; none without an old state."""
+    rows = []
+    for a, b, ks in zip(old, new, kinds, strict=True):
+        rows.append([] if a is None or b is None or ks is None else [{"kind": k, "rank": i, "len": len(codec.encode_delta(k, a, b))} for i, k in enumerate(ks, 1)])
+    return pd.Series(rows, dtype=object)
+
+
 @F.pandas_udf(_struct(previous_len=LONG, current_len=LONG, changed_bytes=LONG, changed_runs=LONG, common_prefix=LONG, common_suffix=LONG))
 def change_profile(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     import numpy as np

@@ -20,18 +20,21 @@ def replay_plans(history: DataFrame, requests: DataFrame) -> DataFrame:
     """Replay or snapshot for each request (client_id, stream_id, local_seq, target_seq, snapshot_bytes).
 
     Every packet of (local, target] must be there on the one before it, and all
-    together must be smaller than the snapshot. The join is by stream, so the
-    range condition works within one.
+    together must be smaller than the snapshot. Running counts over each
+    stream's history turn that range into two look-ups, at local + 1 and at
+    target, so a request never meets the packets in between.
     """
-    h = history.select("stream_id", "seq", "base_seq", "encoded_len")
-    inside = (F.col("seq") > F.col("local_seq")) & (F.col("seq") <= F.col("target_seq"))
-    found = (
-        requests.join(h, "stream_id", "left").where(inside).groupBy("client_id", "stream_id")
-        .agg(F.count("*").alias("n"), F.bool_and(F.col("base_seq") == F.col("seq") - 1).alias("chained"), F.sum("encoded_len").alias("bytes"))
-    )
-    out = requests.join(found, ["client_id", "stream_id"], "left")
-    replay = F.coalesce((F.col("local_seq") < F.col("target_seq")) & (F.col("n") == F.col("target_seq") - F.col("local_seq")) & F.col("chained") & (F.col("bytes") < F.col("snapshot_bytes")), F.lit(False))
-    return out.select(*requests.columns, F.when(replay, "replay").otherwise("snapshot").alias("strategy"), F.when(replay, F.col("bytes")).otherwise(F.col("snapshot_bytes")).cast("long").alias("cost_bytes"))
+    w = W.partitionBy("stream_id").orderBy("seq")
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    broken = F.when(F.col("base_seq") == F.col("seq") - 1, 0).otherwise(1)
+    sums = history.select("stream_id", "seq", F.row_number().over(w).alias("n"), F.sum(broken).over(run).alias("broken"), broken.alias("here"), F.sum("encoded_len").over(run).alias("bytes"), "encoded_len")
+    first = sums.select("stream_id", (F.col("seq") - 1).alias("local_seq"), F.struct("n", F.expr("broken - here").alias("broken"), F.expr("bytes - encoded_len").alias("bytes")).alias("a"))
+    last = sums.select("stream_id", F.col("seq").alias("target_seq"), F.struct("n", "broken", "bytes").alias("b"))
+    out = requests.join(first, ["stream_id", "local_seq"], "left").join(last, ["stream_id", "target_seq"], "left")
+    size = F.col("b.bytes") - F.col("a.bytes")
+    whole = (F.col("b.n") - F.col("a.n") + 1 == F.col("target_seq") - F.col("local_seq")) & (F.col("b.broken") == F.col("a.broken"))
+    replay = F.coalesce((F.col("local_seq") < F.col("target_seq")) & whole & (size < F.col("snapshot_bytes")), F.lit(False))
+    return out.select(*requests.columns, F.when(replay, "replay").otherwise("snapshot").alias("strategy"), F.when(replay, size).otherwise(F.col("snapshot_bytes")).cast("long").alias("cost_bytes"))
 
 
 def chunks(states: DataFrame, key: str, size: int = 1024) -> DataFrame:

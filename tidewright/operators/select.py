@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions import codec
+from tidewright.functions import codec, udfs
 from tidewright.functions.expressions import encoded_len
-from tidewright.operators.diff import byte_candidates, json_deltas, profiles_of_change
-from tidewright.operators.streams import with_text
+from tidewright.operators.diff import json_deltas, profiles_of_change
+from tidewright.operators.streams import with_previous, with_text
 
 
 @dataclass(frozen=True)
@@ -58,12 +58,20 @@ def four_way(profiles: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return sized.withColumn("c", choose(F.col("snapshot_bytes"), F.col("delta_bytes"), policy=policy)).select("*", F.col("c.mode").alias("mode"), F.col("c.bytes").alias("selected_bytes")).drop("c")
 
 
+def _best(snapshot_len: Column, rest: Column) -> Column:
+    """struct(payload_len, rank, kind) of the least of a snapshot and an array of candidates, and how many were looked at."""
+    first = F.struct(snapshot_len.cast("long").alias("payload_len"), F.lit(0).alias("rank"), F.lit("snapshot").alias("kind"))
+    every = F.concat(F.array(first), F.transform(rest, lambda c: F.struct(c["len"].alias("payload_len"), c["rank"].alias("rank"), c["kind"].alias("kind"))))
+    return F.struct(F.array_min(every).alias("best"), F.size(every).cast("long").alias("considered"))
+
+
 def exhaustive(states: DataFrame, chunk: int = 1024) -> DataFrame:
-    """For each byte state the cheapest of snapshot and all delta candidates, without compression: mode and bytes."""
-    first = states.select("stream_id", "seq", F.octet_length("state").cast("long").alias("state_len"), F.lit("snapshot").alias("kind"), F.lit(0).alias("rank"), F.octet_length("state").cast("long").alias("payload_len"))
-    every = first.unionByName(byte_candidates(states, chunk))
-    best = F.min(F.struct("payload_len", "rank", "kind")).alias("b")
-    return every.groupBy("stream_id", "seq").agg(F.max("state_len").alias("state_bytes"), F.count("*").alias("considered"), best).select("stream_id", "seq", "state_bytes", "considered", F.col("b.kind").alias("mode"), encoded_len(F.col("b.payload_len")).alias("selected_bytes"))
+    """For each byte state the cheapest of snapshot and all delta candidates, without compression: mode and bytes.
+
+    Candidates are weighed inside their row, so the one shuffle on the stream is the only one.
+    """
+    both = with_previous(states).withColumn("c", _best(F.octet_length("state"), udfs.candidate_lengths(chunk)("prev_state", "state")))
+    return both.select("stream_id", "seq", F.octet_length("state").cast("long").alias("state_bytes"), F.col("c.considered").alias("considered"), F.col("c.best.kind").alias("mode"), encoded_len(F.col("c.best.payload_len")).alias("selected_bytes"))
 
 
 def shortlist(changed_percent: Column, runs: Column, resized: Column, p: SelectorPolicy = SelectorPolicy()) -> Column:
@@ -84,13 +92,12 @@ def shortlisted(states: DataFrame) -> DataFrame:
 
 
 def fast(states: DataFrame) -> DataFrame:
-    """Snapshot against the shortlisted candidates alone, without memory or compression."""
-    listed = shortlisted(states).select("stream_id", "seq", F.posexplode(F.split("shortlist", ",")).alias("rank", "kind"))
-    costs = byte_candidates(states).select("stream_id", "seq", "kind", "payload_len")
-    deltas = listed.join(costs, ["stream_id", "seq", "kind"]).select("stream_id", "seq", "kind", (F.col("rank") + 1).alias("rank"), "payload_len")
-    first = states.select("stream_id", "seq", F.lit("snapshot").alias("kind"), F.lit(0).alias("rank"), F.octet_length("state").cast("long").alias("payload_len"))
-    best = F.min(F.struct("payload_len", "rank", "kind")).alias("b")
-    return first.unionByName(deltas).groupBy("stream_id", "seq").agg(F.count("*").alias("considered"), best).select("stream_id", "seq", "considered", F.col("b.kind").alias("mode"), encoded_len(F.col("b.payload_len")).alias("selected_bytes"))
+    """Snapshot against the shortlisted candidates alone, without memory or compression. Only those are encoded."""
+    both = with_previous(states).withColumn("p", udfs.change_profile("prev_state", "state"))
+    top = F.greatest("p.previous_len", "p.current_len", F.lit(1))
+    listed = F.when(F.col("prev_state").isNotNull(), shortlist(F.col("p.changed_bytes") / top * 100, F.col("p.changed_runs"), F.col("p.previous_len") != F.col("p.current_len")))
+    both = both.withColumn("c", _best(F.octet_length("state"), udfs.listed_lengths("prev_state", "state", listed)))
+    return both.select("stream_id", "seq", F.col("c.considered").alias("considered"), F.col("c.best.kind").alias("mode"), encoded_len(F.col("c.best.payload_len")).alias("selected_bytes"))
 
 
 # ---- policies with memory: an ordered fold for each stream -------------------------

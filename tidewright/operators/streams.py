@@ -18,11 +18,12 @@ def profile_states(events: DataFrame) -> DataFrame:
 
     One shuffle on the user; running windows over its events.
     """
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    keyed = events.withColumnRenamed("user_id", "stream_id")  # named before the windows, so later ones share their partitioning
+    w = W.partitionBy("stream_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
     cents = F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
-    return events.select(
-        F.col("user_id").alias("stream_id"),
-        F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"),
+    return keyed.select(
+        "stream_id",
+        F.row_number().over(W.partitionBy("stream_id").orderBy("event_id")).cast("long").alias("seq"),
         F.sum(cents).over(w).alias("cents"),
         *(F.count(F.when(F.col("event_type") == t, 1)).over(w).alias(t) for t in EVENT_TYPES),
         F.count("*").over(w).alias("events"),
@@ -44,16 +45,17 @@ def with_text(states: DataFrame) -> DataFrame:
 
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Each conversation's text up to each turn, as bytes: stream_id, seq, state."""
-    w = W.partitionBy("conv_id").orderBy("turn")
+    keyed = conversations.withColumnRenamed("conv_id", "stream_id")
+    w = W.partitionBy("stream_id").orderBy("turn")
     so_far = F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return conversations.select(F.col("conv_id").alias("stream_id"), F.row_number().over(w).cast("long").alias("seq"), F.concat_ws("", so_far).cast("binary").alias("state"))
+    return keyed.select("stream_id", F.row_number().over(w).cast("long").alias("seq"), F.concat_ws("", so_far).cast("binary").alias("state"))
 
 
 def order_records(orders: DataFrame) -> DataFrame:
     """Each customer's orders as a record stream: stream_id, seq, status, priority, cents, day."""
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    return orders.select(
-        F.col("o_custkey").alias("stream_id"), F.row_number().over(w).cast("long").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+    w = W.partitionBy("stream_id").orderBy("o_orderkey")
+    return orders.withColumnRenamed("o_custkey", "stream_id").select(
+        "stream_id", F.row_number().over(w).cast("long").alias("seq"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"),
     )
 
