@@ -104,13 +104,15 @@ class SpanHasher:
 
     def _grow(self, n: int) -> None:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n, min(2 * self.n, SLICE_BYTES + 1), 1 << 12)
             self.up, self.down = powers(_BASE, self.n), powers(_INVERSE, self.n)
 
     def load(self, data: np.ndarray) -> None:
         self._grow(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.add(data, np.uint64(1), out=sums[1:], dtype=np.uint64)
+        sums[1:] *= self.up[: len(data)]
+        self.sums = np.cumsum(sums, out=sums)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

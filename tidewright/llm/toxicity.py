@@ -277,7 +277,8 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     lexicon = learn_lexicon(toxic, [t for t, y in zip(texts, labels, strict=True) if not y])
     matcher = Matcher(lexicon)
-    x = np.concatenate([matcher.evidence(texts[i : i + 64]) for i in range(0, len(texts), 64)])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    x = np.concatenate([matcher.evidence(part.column(0).to_pylist()) for part in sliced(batch, "text")])
     # a few clean rows of no evidence: with hardly a label a text that matches nothing still isn't toxic
     x = np.concatenate((x, np.tile([1.0, 0.0, 0.0, 0.0], (PRIOR, 1))))
     y = np.array([*labels, *[0] * PRIOR], float)
