@@ -205,9 +205,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     while True:
         # the first centres are least ids, which most buckets of a group share; later ones are as good as drawn
         rank = F.lit(0) if not turn else F.xxhash64("key", "doc_id", F.lit(turn))
-        centre = member.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "doc_id", "n", "c")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"), F.col("s.c").alias("ac"))
-        star = stored(member.join(centre, "key"), "stars")
-        edges = star.where(f"c != ac and 100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
+        parts = member.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), "doc_id", "n")).alias("s"))
+        most = parts.groupBy("key").agg(F.min(F.struct((-F.col("m")).alias("m"), "c", "s")).alias("p")).select("key", F.col("p.c").alias("ac"), F.col("p.s.doc_id").alias("a"), F.col("p.s.n").alias("an"))
+        star = stored(member.join(most, "key"), "stars")
+        others = star.where("c != ac")
+        edges = others.select("a", "an", F.col("doc_id").alias("b"), "n")
+        if turn:  # the largest part may hide links among the rest: these have a star of their own
+            second = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(-turn)).alias("r"), "doc_id", "n", "c")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"), F.col("s.c").alias("sc"))
+            edges = edges.unionByName(others.drop("a", "an").join(second, "key").where("c != sc").select("a", "an", F.col("doc_id").alias("b"), "n"))
+        edges = edges.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = stored(confirmed(edges, texts, k, percent), "links")
         if turn > 1 and found.isEmpty():
             break
@@ -215,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         old, joined = joined, components(links)
         dropped(found)
         dropped(old)
-        # a centre is done with; a bucket goes on while the others are in more than one component
+        # the first centre is done with; a bucket goes on while the others are in more than one component
         left = star.where("doc_id != a").select("key", "doc_id", "n")
         if not turn:
             left = left.unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
