@@ -80,6 +80,11 @@ def fold(deliveries: DataFrame, reorder: int = 0, gap: int = 8) -> DataFrame:
     return deliveries.groupBy("client_id").applyInPandas(run, OUTCOMES)
 
 
+def check_schema(deliveries: DataFrame, schema_hash: str) -> DataFrame:
+    """Deliveries with the column error: SchemaMismatch for those of another schema, before anything else is looked at."""
+    return deliveries.withColumn("error", F.when(F.col("schema_hash") != schema_hash, F.lit("SchemaMismatch")))
+
+
 def without_repeats(deliveries: DataFrame) -> DataFrame:
     """Each client's deliveries whose sequence is above all before: what suppression lets through."""
     w = W.partitionBy("client_id").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)

@@ -102,11 +102,11 @@ def schema_migration(spark, sf_dir):
     return subscribe.migrate(states, routes).select("stream_id", "seq", "kind", "outcome", "migrated")
 
 
-@query("decode_limits", f"WITH {TEXT_SQL} SELECT stream_id, seq, CASE WHEN strlen(state) > 110 THEN 'PayloadTooLarge' END AS error FROM texts")
+@query("decode_limits", f"WITH {TEXT_SQL} SELECT stream_id, seq, CASE WHEN strlen(state) > 110 THEN 'PacketTooLarge' END AS error FROM texts")
 def decode_limits(spark, sf_dir):
     """A subscriber's own cap on payloads."""
     t = streams.with_text(profiles(spark, sf_dir))
-    return t.select("stream_id", "seq", F.when(F.octet_length("state") > 110, F.lit("PayloadTooLarge")).alias("error"))
+    return t.select("stream_id", "seq", F.when(F.octet_length("state") > 110, F.lit("PacketTooLarge")).alias("error"))
 
 
 # ---- recovery ----------------------------------------------------------------------

@@ -395,7 +395,7 @@ def _malformed() -> list[tuple[str, bytes]]:
 @query(
     "packet_errors",
     """SELECT unnest(['whole', 'empty', 'short', 'magic', 'version', 'kind', 'flags', 'truncated', 'trailing', 'checksum', 'older']) AS name,
- unnest([NULL, 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'UnsupportedVersion', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'ChecksumMismatch', NULL]) AS error""",
+ unnest([NULL, 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'ProtocolVersionRange', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'InvalidPacket', 'ChecksumMismatch', NULL]) AS error""",
 )
 def packet_errors(spark, sf_dir):
     """Which error each kind of broken packet gives; versions 2 and 3 are read."""
