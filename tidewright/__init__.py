@@ -9,14 +9,20 @@ import zipfile
 from pathlib import Path
 
 _shipped: set[str] = set()
+#: Rows and bytes of the batches that pass between Spark and Python, where the session has Spark's defaults: texts are long, and
+#: the buffers of a batch stand in each executor several times over, outside its heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark) -> None:
-    """Give this package's code to the executors of ``spark``, once for each application.
+    """Give this package's code to the executors of ``spark``, once for each application, and set the size of batches.
 
     Functions that run on executors are found by their module's name; where the
     executors' Python doesn't have the package on its path, it comes from here.
     """
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
