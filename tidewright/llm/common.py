@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -27,12 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, per_core: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs no recomputation of what is written.
+    With ``per_core`` there are at most so many files for each core of the
+    cluster, for tables of short rows that would else be very many small files.
     """
     spark = df.sparkSession
+    if per_core:
+        df = df.coalesce(per_core * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -92,6 +98,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def release() -> None:
+    """Drop what an operator of an earlier stage keeps in this worker process between its tasks."""
+    packing = sys.modules.get("tidewright.llm.packing")
+    if packing and packing._encoders:
+        packing._encoders.clear()
+        gc.enable()
+        gc.collect()
+
+
 class SpanHasher:
     """64-bit hashes of any spans of a buffer, from one running sum.
 
@@ -100,6 +115,7 @@ class SpanHasher:
     """
 
     def __init__(self) -> None:
+        release()
         self.n = 0
 
     def _grow(self, n: int) -> None:

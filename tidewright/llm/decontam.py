@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import load
+from tidewright.llm.common import load, release
 
 #: Edits allowed, as a share of the item's characters.
 ERROR_SHARE = 0.05
@@ -137,6 +137,7 @@ def _block(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        release()
         items = shared.value
         if not items:
             return

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import dropped, load, sliced, stored
+from tidewright.llm.common import dropped, load, release, sliced, stored
 
 WINDOW = 2
 #: A boundary follows one window in so many.
@@ -85,6 +85,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "off", "len", "h1", "h2")])
         for batch in (b for whole in batches for b in sliced(whole, "text")):
             rows: tuple[list, ...] = ([], [], [], [], [])

@@ -161,7 +161,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 def components(edges: DataFrame) -> DataFrame:
     """doc_id and the least id reachable, for every end of ``edges`` (a, b): alternating large-star and small-star."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", 4)
     before = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        old, now = now, stored(small, "edges")
+        old, now = now, stored(small, "edges", 4)
         dropped(old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     sketch = stored(sketches(docs, k), "sketches")
     keyed = sketch.where("n > 0 and doc_id is not null")
-    classes = stored(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes", 8)
     reps = keyed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
@@ -207,14 +207,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         rank = F.lit(0) if not turn else F.xxhash64("key", "doc_id", F.lit(turn))
         parts = member.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), "doc_id", "n")).alias("s"))
         most = parts.groupBy("key").agg(F.min(F.struct((-F.col("m")).alias("m"), "c", "s")).alias("p")).select("key", F.col("p.c").alias("ac"), F.col("p.s.doc_id").alias("a"), F.col("p.s.n").alias("an"))
-        star = stored(member.join(most, "key"), "stars")
+        star = stored(member.join(most, "key"), "stars", 8)
         others = star.where("c != ac")
         edges = others.select("a", "an", F.col("doc_id").alias("b"), "n")
         if turn:  # the largest part may hide links among the rest: these have a star of their own
             second = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(-turn)).alias("r"), "doc_id", "n", "c")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"), F.col("s.c").alias("sc"))
             edges = edges.unionByName(others.drop("a", "an").join(second, "key").where("c != sc").select("a", "an", F.col("doc_id").alias("b"), "n"))
         edges = edges.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(confirmed(edges, texts, k, percent), "links")
+        found = stored(confirmed(edges, texts, k, percent), "links", 16)
         if turn > 1 and found.isEmpty():
             break
         links = found if joined is None else found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             left = left.unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
         left = left.join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
         several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        old, member = member, stored(left.join(several, "key", "left_semi"), "buckets")
+        old, member = member, stored(left.join(several, "key", "left_semi"), "buckets", 8)
         dropped(old if turn else every)
         dropped(star)
         if member.isEmpty():
