@@ -6,8 +6,8 @@ one class, and only each class's representative goes on. Buckets are compared
 along stars, so candidate edges are as many as bucket rows, never pairs of a
 bucket. Every candidate edge is confirmed on the full sets. A star's centre may
 be like none of two members that are like each other; so buckets whose members
-are still in several components get new stars, until a turn over all of them
-finds no link. The first few bands go first: what they join needs no comparing
+are still in several components get new stars: two turns over all of them, then
+turns over those that the turn before changed, until one finds no link. The first few bands go first: what they join needs no comparing
 in the other bands.
 """
 
@@ -28,6 +28,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Bands compared first; what they link needs no comparing in the others.
 FIRST_BANDS = 6
+#: Turns over all unsettled buckets; later ones look again only where the turn before joined something.
+FULL_TURNS = 2
 #: Most members beside the centre in one confirming group.
 GROUP = 64
 
@@ -218,18 +220,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if turn > 1 and found.isEmpty():
             break
         links = found if joined is None else found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-        old, joined = joined, components(links)
+        known, joined = joined, components(links)
         dropped(found)
-        dropped(old)
         # the first centre is done with; a bucket goes on while the others are in more than one component
         left = star.where("doc_id != a").select("key", "doc_id", "n")
         if not turn:
             left = left.unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
         left = left.join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+        if turn >= FULL_TURNS:  # from here on only buckets that hold a document of a component that has just changed
+            now = joined.select("doc_id", F.col("component_id").alias("now"))
+            new = now.join(known, "doc_id", "left").where("component_id is null or now != component_id").select("doc_id")
+            left = left.join(star.join(new, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi")
         several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
         old, member = member, stored(left.join(several, "key", "left_semi"), "buckets", 8)
-        dropped(old if turn else every)
-        dropped(star)
+        for gone in (old if turn else every, star, known):
+            dropped(gone)
         if member.isEmpty():
             break
         turn += 1
