@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     place = marked.where(F.col(extra).isNotNull()).select(F.col("text").cast("binary").alias("b"), F.explode(extra).alias("s"))
     pieces = place.select("s.h1", "s.h2", "s.len", F.substring("b", F.col("s.off").cast("int") + 1, F.col("s.len").cast("int")).alias("bytes"))
     variants = pieces.groupBy(*key, "bytes").agg(F.lit(1).alias("one"))
-    wrong = stored(variants.groupBy(*key).agg(F.count("*").alias("v")).where("v > 1").drop("v"), "collisions")
+    wrong = stored(variants.groupBy(*key).agg(F.count("*").alias("v")).where("v > 1").drop("v"), "collisions", 2)
     # rows here are collisions of 128-bit digests with equal lengths: none, but for an attack on the hash
     clash = {tuple(r) for r in wrong.toLocalIterator()}
 
