@@ -152,3 +152,9 @@ def test_generators_are_deterministic():
     assert s == simulate.entropy_bytes(64) != simulate.entropy_bytes(64, (7, 9, 8))
     assert simulate.scattered(s, 3, 5) != s and len(simulate.scattered(b"", 1, 2)) == 0
     assert abs(simulate.cpu_percent(3)[1] - 36.1) < 1e-4
+
+
+def test_encoding_in_place_is_the_fold(spark):
+    states = simulate.byte_workload(spark, 5, 700, 40, 3.0)
+    a, b = (sorted(map(tuple, f(states).collect())) for f in (select.fast_with_memory, select.fast_in_place))
+    assert a == b and len(a) == 200

@@ -162,7 +162,48 @@ class Advisor:
             self.winners = [*self.winners, mode][-max(self.policy.window, 1) :]
 
 
-def fast_with_memory(states: DataFrame, zstd: bool = True, min_zstd: int = 256, min_savings: int = 8) -> DataFrame:
+FAST = "stream_id long, seq long, mode string, considered long, selected_bytes long"
+
+
+class FastEncoder:
+    """One stream's fast encoder: winner memory, compression gate, and the state before."""
+
+    def __init__(self, zstd: bool = True, min_zstd: int = 256, min_savings: int = 8) -> None:
+        self.advisor, self.old, self.zstd, self.min_zstd, self.min_savings = Advisor(), None, zstd, min_zstd, min_savings
+
+    def encode(self, seq: int, new: bytes) -> tuple[str, int, int]:
+        """Mode, candidates considered and encoded bytes of the next state."""
+        snap, advisor = codec.Packet("snapshot", seq, 0, 0, 0, new), self.advisor
+        best, mode, seen = snap.encoded_len, "snapshot", 1
+        if self.old is None:
+            if self.zstd and len(new) >= self.min_zstd:
+                small = codec.zstd_candidate(snap, 1, self.min_savings)
+                seen += 1
+                if small.compressed and small.encoded_len < best:
+                    best, mode = small.encoded_len, "snapshot_zstd"
+        else:
+            for kind in advisor.list(self.old, new):
+                p = codec.Packet("delta", seq, seq - 1, 0, 0, codec.encode_delta(kind, self.old, new))
+                seen += 1
+                if p.encoded_len < best:
+                    best, mode = p.encoded_len, kind
+                if self.zstd and advisor.compresses(len(p.payload), self.min_zstd):
+                    small = codec.zstd_candidate(p, 1, self.min_savings)
+                    seen += 1
+                    advisor.attempts += 1
+                    advisor.wins += small.compressed and small.encoded_len < p.encoded_len
+                    if small.compressed and small.encoded_len < best:
+                        best, mode = small.encoded_len, f"{kind}_zstd"
+            advisor.saw(mode.removesuffix("_zstd"))
+        self.old = new
+        return mode, seen, best
+
+
+def _fast_rows(encoder: FastEncoder, pdf: pd.DataFrame) -> list[tuple]:
+    return [(stream, seq, *encoder.encode(int(seq), new)) for stream, seq, new in zip(pdf["stream_id"], pdf["seq"], pdf["state"], strict=True)]
+
+
+def fast_with_memory(states: DataFrame, **options) -> DataFrame:
     """The fast encoder with its winner memory and compression gate: stream_id, seq, mode, considered, selected_bytes.
 
     What is chosen at one update depends on the choices before it, so each
@@ -170,35 +211,28 @@ def fast_with_memory(states: DataFrame, zstd: bool = True, min_zstd: int = 256,
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        advisor, old, rows = Advisor(), None, []
-        for stream, seq, new in pdf.sort_values("seq")[["stream_id", "seq", "state"]].itertuples(index=False):
-            snap = codec.snapshot(int(seq), new, 0)
-            best, mode, seen = snap.encoded_len, "snapshot", 1
-            if old is None:
-                if zstd and len(new) >= min_zstd:
-                    small = codec.zstd_candidate(snap, 1, min_savings)
-                    seen += 1
-                    if small.compressed and small.encoded_len < best:
-                        best, mode = small.encoded_len, "snapshot_zstd"
-            else:
-                for kind in advisor.list(old, new):
-                    p = codec.Packet("delta", int(seq), int(seq) - 1, 0, 0, codec.encode_delta(kind, old, new))
-                    seen += 1
-                    if p.encoded_len < best:
-                        best, mode = p.encoded_len, kind
-                    if zstd and advisor.compresses(len(p.payload), min_zstd):
-                        small = codec.zstd_candidate(p, 1, min_savings)
-                        seen += 1
-                        advisor.attempts += 1
-                        advisor.wins += small.compressed and small.encoded_len < p.encoded_len
-                        if small.compressed and small.encoded_len < best:
-                            best, mode = small.encoded_len, f"{kind}_zstd"
-                advisor.saw(mode.removesuffix("_zstd"))
-            rows.append((stream, seq, mode, seen, best))
-            old = new
-        return pd.DataFrame(rows, columns=["stream_id", "seq", "mode", "considered", "selected_bytes"])
+        return pd.DataFrame(_fast_rows(FastEncoder(**options), pdf.sort_values("seq")), columns=["stream_id", "seq", "mode", "considered", "selected_bytes"])
+
+    return states.groupBy("stream_id").applyInPandas(fold, FAST)
+
+
+def fast_in_place(states: DataFrame, **options) -> DataFrame:
+    """As fast_with_memory, without a shuffle, for states that stand in order already, each stream as a whole in one partition.
+
+    Batches pass one by one, so a stream of any length takes the memory of one batch and one state.
+    """
 
-    return states.groupBy("stream_id").applyInPandas(fold, "stream_id long, seq long, mode string, considered long, selected_bytes long")
+    def fold(batches):
+        at, encoder = None, None
+        for pdf in batches:
+            rows = []
+            for stream, part in pdf.groupby("stream_id", sort=False):
+                if stream != at:
+                    at, encoder = stream, FastEncoder(**options)
+                rows += _fast_rows(encoder, part)
+            yield pd.DataFrame(rows, columns=["stream_id", "seq", "mode", "considered", "selected_bytes"])
+
+    return states.mapInPandas(fold, FAST)
 
 
 def exhaustive_with_tuner(states: DataFrame, min_savings: int = 8) -> DataFrame:
