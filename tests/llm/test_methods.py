@@ -338,6 +338,15 @@ def test_edited_items_are_found_up_to_the_budget(spark):
         assert {r["doc_id"]: r["distance"] for r in decontam.leaks(docs, bench.union(spark.createDataFrame([(2, text(20))], bench.schema)), block).collect() if r["item_id"] == 1} == want
 
 
+def test_blank_items_end_no_block(spark):
+    items = ["the first item stands here unchanged", " \n", "a second item that stands in a text", "", "\t", "and a third item behind all blank ones"]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(items) if t.strip()], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    for block in (1, 2, 3, 6, 100):
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench, block).collect()} == {(0, 0), (2, 2), (5, 5)}
+    assert decontam.leaks(docs, bench.where("trim(text) = ''")).count() == 0
+
+
 # ---- near duplicates ----
 
 

@@ -9,6 +9,7 @@ algorithm measures the distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,15 +120,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     spark = docs.sparkSession
     wanted = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    found, block, seen = None, [], wanted.toLocalIterator(prefetchPartitions=True)
-    while True:
-        block = [(r["item_id"], p) for _, r in zip(range(block_items), seen, strict=False) if (p := normal(r["text"]))]
-        if not block and found is not None:
-            break
+    # blank items are left out before blocks are cut, so only the last block is short
+    kept = ((r["item_id"], p) for r in wanted.toLocalIterator(prefetchPartitions=True) if (p := normal(r["text"])))
+    found = None
+    while (block := list(islice(kept, block_items))) or found is None:
         part = _block(texts, spark.sparkContext.broadcast(block))
         found = part if found is None else found.unionByName(part)
-        if len(block) < block_items:
-            break
     best = F.min(F.struct("distance", "begin", "end")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.distance", "m.begin", "m.end")
 
