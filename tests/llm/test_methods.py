@@ -393,6 +393,28 @@ def test_chains_of_near_copies(spark, k):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, k)
 
 
+@pytest.mark.parametrize("block", [256, 64])
+def test_links_in_buckets_of_many_components(spark, monkeypatch, block):
+    """Variants of one text share buckets and are not alike, but for a few pairs that no centre is like."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in range(5):
+        base, group = [f"w{g}x{i}" for i in range(100)], []
+        for d in range(400 * g, 400 * g + 400):
+            own = base[:70] + [f"p{d}x{j}" for j in range(18)] + base[70:] if d % 400 < 398 else base[:]
+            if d % 400 >= 398:
+                for j in rng.sample(range(1, 99), 2):
+                    own[j] = f"d{d}x{j}"
+            group.append((d, " ".join(own)))
+        want |= brute_components(group, 2)
+        rows += group
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sum(c != d for d, (_, c) in want.items()) == 5
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 # ---- archive ----
 
 

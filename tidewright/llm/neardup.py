@@ -2,13 +2,12 @@
 
 One pass over the texts gives, for every document, the size and a 128-bit
 fingerprint of its shingle set and its band keys. Documents with equal sets are
-one class, and only each class's representative goes on. Buckets are compared
-along stars, so candidate edges are as many as bucket rows, never pairs of a
-bucket. Every candidate edge is confirmed on the full sets. A star's centre may
-be like none of two members that are like each other; so buckets whose members
-are still in several components get new stars: two turns over all of them, then
-turns over those that the turn before changed, until one finds no link. The first few bands go first: what they join needs no comparing
-in the other bands.
+one class, and only each class's representative goes on. The buckets of the
+first few bands are compared along stars, so candidate edges are as many as
+bucket rows; what they join needs no comparing in the other bands. A star's
+centre may be like none of two members that are like each other; so in every
+bucket whose members are still in several components, all pairs of different
+components are compared, in blocks. All comparing is on the full sets.
 """
 
 from __future__ import annotations
@@ -28,10 +27,10 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Bands compared first; what they link needs no comparing in the others.
 FIRST_BANDS = 6
-#: Turns over all unsettled buckets; later ones look again only where the turn before joined something.
-FULL_TURNS = 2
 #: Most members beside the centre in one confirming group.
 GROUP = 64
+#: Most members of one block where all pairs are compared; a task has two blocks.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 #: Where an empty bin looks for a value: for each bin a permutation of all bins.
@@ -161,6 +160,61 @@ def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.groupBy("a", "part").applyInPandas(check, "a long, b long")
 
 
+def links_within(sets: list[np.ndarray], c: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that link the parts ``c`` of some sets as far as any similar pair of two parts does; no more than a forest."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    marks = np.zeros(int(at.max()) + 1, bool)
+    _, part = np.unique(np.array(c, np.int64), return_inverse=True)
+    rest = np.bincount(part).argmax()
+    out = []
+    # pairs within the largest part need no comparing, so each pair has one end outside
+    for i in np.flatnonzero(part != rest).tolist():
+        own = at[begins[i] : begins[i + 1]]
+        marks[own] = True
+        shared = np.add.reduceat(marks[at], begins[:-1], dtype=np.int64)
+        marks[own] = False
+        for j in np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (part != part[i])).tolist():
+            if part[j] != part[i]:
+                out.append((i, j))
+                part[part == part[j]] = part[i]
+    return out
+
+
+def links_in_buckets(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join the parts ``c`` of each bucket (key, doc_id, c) as far as its similar pairs do.
+
+    A bucket's largest part needs comparing with the others alone. Both are dealt
+    in blocks of about BLOCK, and a task has two blocks, so no bucket is a single
+    task. Buckets of the same members are one.
+    """
+    same = [F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), F.col("doc_id"))).alias("x2")]
+    parts = left.groupBy("key", "c").agg(F.count("*").alias("m"), *same)
+    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.min(F.struct((-F.col("m")).alias("l"), "c")).alias("most"))
+    buckets = buckets.where("parts > 1").dropDuplicates(["m", "x1", "x2"])
+    few, many = F.ceil((F.col("m") + F.col("most.l")) / BLOCK).cast("int"), F.ceil(-F.col("most.l") / BLOCK).cast("int")
+    one = F.col("m") <= BLOCK
+    buckets = buckets.select("key", F.col("most.c").alias("large"), F.when(one, 1).otherwise(few).alias("few"), F.when(one, 0).otherwise(many).alias("many"))
+    outside = (F.col("many") == 0) | (F.col("c") != F.col("large"))
+    dealt = F.when(outside, F.pmod(F.xxhash64("doc_id", "key"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("doc_id", "key"), F.greatest("many", F.lit(1)))).cast("int")
+    members = left.join(buckets, "key").select("key", "doc_id", "c", "few", "many", dealt.alias("block"))
+    others = F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few"))
+    seats = members.select("key", "doc_id", "c", "block", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    rows = seats.select("key", "doc_id", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(texts, "doc_id")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        hasher, sets = SpanHasher(), []
+        batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
+        for part in sliced(batch, "text"):
+            sets += shingle_sets(part.column(0), k, hasher)
+        docs = pdf["doc_id"].to_numpy()
+        pairs = np.array(links_within(sets, pdf["c"].tolist(), percent), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": docs[pairs[:, 0]], "b": docs[pairs[:, 1]]})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(check, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """doc_id and the least id reachable, for every end of ``edges`` (a, b): alternating large-star and small-star."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", 4)
@@ -203,41 +257,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     every = stored(rows.join(shared, "key", "left_semi").withColumn("c", F.col("doc_id")), "buckets")
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(every.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    member, joined, turn = every.where(F.col("band") < FIRST_BANDS), None, 0
-    while True:
-        # the first centres are least ids, which most buckets of a group share; later ones are as good as drawn
-        rank = F.lit(0) if not turn else F.xxhash64("key", "doc_id", F.lit(turn))
-        parts = member.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(rank.alias("r"), "doc_id", "n")).alias("s"))
-        most = parts.groupBy("key").agg(F.min(F.struct((-F.col("m")).alias("m"), "c", "s")).alias("p")).select("key", F.col("p.c").alias("ac"), F.col("p.s.doc_id").alias("a"), F.col("p.s.n").alias("an"))
-        star = stored(member.join(most, "key"), "stars", 8)
-        others = star.where("c != ac")
-        edges = others.select("a", "an", F.col("doc_id").alias("b"), "n")
-        if turn:  # the largest part may hide links among the rest: these have a star of their own
-            second = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(-turn)).alias("r"), "doc_id", "n", "c")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"), F.col("s.c").alias("sc"))
-            edges = edges.unionByName(others.drop("a", "an").join(second, "key").where("c != sc").select("a", "an", F.col("doc_id").alias("b"), "n"))
-        edges = edges.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(confirmed(edges, texts, k, percent), "links", 16)
-        if turn > 1 and found.isEmpty():
-            break
-        links = found if joined is None else found.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
-        known, joined = joined, components(links)
-        dropped(found)
-        # the first centre is done with; a bucket goes on while the others are in more than one component
-        left = star.where("doc_id != a").select("key", "doc_id", "n")
-        if not turn:
-            left = left.unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
-        left = left.join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
-        if turn >= FULL_TURNS:  # from here on only buckets that hold a document of a component that has just changed
-            now = joined.select("doc_id", F.col("component_id").alias("now"))
-            new = now.join(known, "doc_id", "left").where("component_id is null or now != component_id").select("doc_id")
-            left = left.join(star.join(new, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi")
-        several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        old, member = member, stored(left.join(several, "key", "left_semi"), "buckets", 8)
-        for gone in (old if turn else every, star, known):
-            dropped(gone)
-        if member.isEmpty():
-            break
-        turn += 1
+    # the least ids are centres, which most buckets of a group share
+    first = every.where(F.col("band") < FIRST_BANDS)
+    most = first.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"))
+    rest = stored(first.join(most, "key").where("doc_id != a").select("key", "doc_id", "n", "a", "an"), "stars", 8)
+    edges = rest.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
+    starred = stored(confirmed(edges, texts, k, percent), "links", 16)
+    joined = components(starred)
+    # a centre has met all others of its bucket and is done with there
+    left = rest.select("key", "doc_id").unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id"))
+    left = left.join(joined, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    left = stored(left.join(several, "key", "left_semi"), "buckets", 8)
+    dropped(every)
+    dropped(rest)
+    within = stored(links_in_buckets(left, texts, k, percent), "links", 16)
+    dropped(left)
+    known, joined = joined, components(within.unionByName(joined.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))))
+    for gone in (starred, known, within):
+        dropped(gone)
     dropped(texts)
     name = classes.join(joined, classes.rep == joined.doc_id, "left").select("n", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
     out = sketch.join(name, ["n", "f1", "f2"], "left")
