@@ -33,3 +33,18 @@ def test_simulations_converge_and_every_fault_fires(spark):
     for w, faults in {"multi_client": ("drops", "duplicates", "resyncs", "reorders", "disconnects"), "torture": ("drops", "duplicates", "resyncs", "reorders", "corruptions", "late_joins", "storm", "buffered"), "fast_torture": ("drops", "duplicates", "corruptions", "resyncs", "reorders", "late_joins")}.items():
         r = registry.queries()[f"simulate_{w}"](spark, SF).first()
         assert r["converged"] == r["clients"] and all(r[f] for f in faults), (w, r)
+
+
+def test_reorder_of_whole_streams(spark):
+    from tidewright.operators.subscribe import Chain
+
+    streams: dict = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").collect():
+        streams[r["user_id"]] = streams.get(r["user_id"], 0) + 1
+    want = []
+    for client, n in streams.items():
+        order = sorted(range(1, n + 1), key=lambda s: s + 1 if s % 10 == 5 else s - 1 if s % 10 == 6 else s)
+        chain = Chain(None, 64, 8)
+        want += [(client, s, chain.step("snapshot" if s == 1 else "delta", s, s - 1)[0]) for s in order]
+    got = registry.queries()["bounded_reorder_whole"](spark, SF).select("client_id", "seq", "outcome").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == sum(streams.values())
