@@ -48,3 +48,16 @@ def test_reorder_of_whole_streams(spark):
         want += [(client, s, chain.step("snapshot" if s == 1 else "delta", s, s - 1)[0]) for s in order]
     got = registry.queries()["bounded_reorder_whole"](spark, SF).select("client_id", "seq", "outcome").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == sum(streams.values())
+
+
+def test_manifest_of_all_items(spark):
+    want = []
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        b = (r["text"] or "").encode()
+        for i in range(0, len(b), 64):
+            h = 14695981039346656037
+            for x in b[i : i + 64]:
+                h = (h ^ x) * 1099511628211 % (1 << 64)
+            want.append((r["item_id"], i // 64, f"{h:016x}"))
+    got = registry.queries()["chunk_manifest_whole"](spark, SF).select("item_id", "idx", "hash").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

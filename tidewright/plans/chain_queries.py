@@ -195,6 +195,12 @@ def chunk_manifest(spark, sf_dir):
     return recover.manifest(b, "item_id", 64)
 
 
+@query("chunk_manifest_whole")
+def chunk_manifest_whole(spark, sf_dir):
+    """The same of all items, whatever their characters; a chunk may end inside one. A null or empty text has no chunks."""
+    return recover.manifest(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("state")), "item_id", 64)
+
+
 @query("manifest_diff", f"WITH {SIDES_SQL} SELECT pair, CAST(i AS INTEGER) AS idx FROM differ")
 def manifest_diff(spark, sf_dir):
     return recover.differing(*sides(spark, sf_dir), "pair").select("pair", "idx")
