@@ -112,6 +112,15 @@ def test_cached_encoding_is_whole_encoding(texts):
     assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_more_chunks_than_the_cache_holds(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 8)
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["one two three four five"], [" ".join(f"word{i}" for i in range(20)) + " one two three"], ["one \u4e2d\u6587 six"]):
+        assert e.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # ---- neighbours ----
 
 

@@ -196,9 +196,6 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-            self.words.clear()
         words, plain, other = self.words, [], []
         for c in new:
             (plain if c.isascii() or max(c) < "\u0250" else other).append(c)
@@ -214,8 +211,12 @@ class Encoder:
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or any(s in t for s in self.special) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
         every = set().union(*split)
-        self._learn(every.difference(chunks))
-        self._learn(every.difference(chunks))  # empty, unless the caches were emptied meanwhile
+        new = every.difference(chunks)
+        if len(chunks) + len(new) > CACHE_ENTRIES:  # the caches are emptied, so what they hold of these texts is learned again
+            chunks.clear()
+            self.words.clear()
+            new = every
+        self._learn(new)
         for t, o, ws in zip(texts, odd, split, strict=True):
             out.append(self._whole([t])[0] if o else b"".join(map(chunks.__getitem__, ws)))
         return out
