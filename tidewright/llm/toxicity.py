@@ -34,15 +34,18 @@ LEAST_SHARE, FULL_ODDS = 0.3, 6.0
 COPY_MARK = 3
 #: Insults are learned as whole words and as stems of these lengths.
 STEMS = (4, 5, 6, 7, 8)
-CLAUSE = re.compile(r"[.!?;:\n|]+")
+CLAUSE = re.compile(r"[.!?;\n|]+")
 BITMAP = 22
 
 # Closed word classes of the four languages.
 TARGETS = frozenset("you your yours they them he she him her u du dich dir ihr euch sie er tu te toi vous il elle ils eux tú ti usted ustedes vosotros él ella ellos".split())
-NEGATIONS = frozenset("not no never isn aren don nicht kein keine nie pas jamais ne nunca ni sin".split())
+NEGATIONS = frozenset("not no never cannot neither nor without isn aren don nicht kein keine nie pas jamais ne nunca ni sin".split())
 REPORTS = frozenset("said says say wrote called quoted claimed reported sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split())
 THREATS = frozenset("kill killing hurt destroy burn shoot stab töten umbringen schlagen tuer frapper brûler matar golpear quemar".split())
 
+#: What stands before the t of isn't, can't and so on: such a t is a negation.
+APOSTROPHES = "'\u2019"
+
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -184,6 +187,13 @@ CLOSED = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION)
 _THREATS = Lexicon(whole_hashes(sorted(THREATS)))
 
 
+def symbol(text: str, start: int, end: int) -> int:
+    """The closed class of a word, or OTHER."""
+    if end - start == 1 and text[start] == "t" and start and text[start - 1] in APOSTROPHES:
+        return NEGATION
+    return CLOSED.get(text[start:end], OTHER)
+
+
 class Matcher:
     """Finds and weighs the clauses of texts that have an insult or a threat."""
 
@@ -207,11 +217,15 @@ class Matcher:
             out = []
             for c in np.unique(np.searchsorted(lo, starts[own], "right") - 1):
                 w0, w1 = np.searchsorted(starts, (lo[c], hi[c]))
-                read = [INSULT if f else CLOSED.get(text[s:e], OTHER) for s, e, f in zip(starts[w0:w1].tolist(), ends[w0:w1].tolist(), flags[w0:w1].tolist(), strict=True)]
-                strength = max(flags[w0:w1].tolist()) or 1.0  # of threats alone: 1
-                out.append((int(lo[c]), int(hi[c]), strength * self.machine.weight(read)))
+                read = [INSULT if f else symbol(text, s, e) for s, e, f in zip(starts[w0:w1].tolist(), ends[w0:w1].tolist(), flags[w0:w1].tolist(), strict=True)]
+                out.append((int(lo[c]), int(hi[c]), self.weight(read, max(flags[w0:w1].tolist()))))
             yield int(i), out, len(starts)
 
+    def weight(self, read: list[int], strength: float) -> float:
+        """A clause's weight: what its threats weigh, and what its insults add, by the strength of the strongest."""
+        alone = self.machine.weight([OTHER if s == INSULT else s for s in read])
+        return alone + strength * (self.machine.weight(read) - alone) if strength else alone
+
     def evidence(self, texts: list[str]) -> np.ndarray:
         """For each text 1, the heaviest clause's weight, and the logs of one more than all weights' sum and than their sum for 100 words."""
         x = np.zeros((len(texts), 4))
@@ -331,6 +345,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id and score (0 to 1) of every document (doc_id, text; further columns are ignored).
 
     Null and empty texts have no matched clause: the curve's foot. Where nothing was learned that is 0.
+    A text of any length is read whole. Every row is scored by itself, so repeated rows and rows without
+    doc_id come back as often, and equal texts score the same. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": (np.zeros(0, np.uint64), np.zeros(0)), "curve": np.array([-30.0, 0.0, 0.0, 0.0])})
 
@@ -344,6 +360,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of documents, learned from labels of rows not held out."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, load(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out("doc_id", 4, 2)))
     return score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -352,6 +369,7 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns and other rows as they are.
 
+    Null and empty texts stay, unless the threshold is no higher than the curve's foot.
     Scoring and choosing are one pass over the rows: nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": (np.zeros(0, np.uint64), np.zeros(0)), "curve": np.array([-30.0, 0.0, 0.0, 0.0])})
