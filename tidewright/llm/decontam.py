@@ -19,8 +19,6 @@ from tidewright.llm.common import load, release
 
 #: Edits allowed, as a share of the item's characters.
 ERROR_SHARE = 0.05
-#: Items of fewer characters are too common to tell anything and are only found unchanged.
-SHORT = 24
 #: Items that one automaton holds; more are matched block after block.
 BLOCK_ITEMS = 20_000
 MATCH = "doc_id long, item_id long, distance int, begin int, end int"
@@ -33,7 +31,7 @@ def normal(text: str) -> str:
 
 def budget(item: str) -> int:
     """Edits that an item may have."""
-    return int(len(item) * ERROR_SHARE) if len(item) >= SHORT else 0
+    return int(len(item) * ERROR_SHARE)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -72,6 +70,33 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     return best
 
 
+def match_length(pattern: str, text: str, distance: int) -> int:
+    """Length of the shortest suffix of ``text`` that has that distance to ``pattern``: both read backwards, from the end on."""
+    m = len(pattern)
+    peq: dict[str, int] = {}
+    for i, c in enumerate(reversed(pattern)):
+        peq[c] = peq.get(c, 0) | 1 << i
+    mask, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = mask, 0, m
+    if score == distance:
+        return 0
+    for j, c in enumerate(reversed(text), 1):
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv) & mask
+        mh = pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        if score == distance:
+            return j
+        # a character of the text before the pattern's first costs one: the match begins at the end
+        ph = (ph << 1 | 1) & mask
+        mh = mh << 1 & mask
+        pv = mh | ~(xv | ph) & mask
+        mv = ph & xv
+    raise ValueError("no such match")
+
+
 def matches(text: str, automaton, items: list[tuple[int, str]]) -> list[tuple[int, int, int, int]]:
     """item_id, distance, begin and end (of the normalised text) of each item's best match in a normalised text."""
     starts: dict[int, set[int]] = {}
@@ -99,7 +124,7 @@ def matches(text: str, automaton, items: list[tuple[int, str]]) -> list[tuple[in
             hit = myers(pattern, text[a:b], k if best is None else best[0] - 1)
             if hit:
                 end = a + hit[1]
-                best = (hit[0], max(a, end - m - hit[0]), end)
+                best = (hit[0], end - match_length(pattern, text[max(a, end - m - hit[0]) : end], hit[0]), end)
         if best:
             out.append((number, *best))
     return out
@@ -108,7 +133,8 @@ def matches(text: str, automaton, items: list[tuple[int, str]]) -> list[tuple[in
 def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document (doc_id, text) and item (item_id, text) that stands in it within the item's budget.
 
-    Null and empty texts match nothing; so do items that are empty after
+    begin and end are of the normalised text: the first end of the least distance, and the latest begin for it.
+    Texts of any length are searched whole. Null and empty texts match nothing; so do items that are empty after
     normalising. Rows that repeat a doc_id or item_id match each for itself and
     give one row for the pair: the least distance, then the first place. Rows
     without id are left out. Further columns are ignored.
@@ -130,7 +156,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.distance", "m.begin", "m.end")
 
 
-
 def _block(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -158,10 +183,14 @@ def _block(texts: DataFrame, shared) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows without doc_id stay."""
+    """``docs`` without the documents that hold a benchmark item; columns and other rows as they are.
+
+    Rows without doc_id, null and empty texts stay. Of rows that repeat a doc_id all go if one holds an item.
+    """
     gone = leaks(docs, benchmark).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, begin and end of every item of benchmark that stands in a row of documents."""
     return leaks(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
