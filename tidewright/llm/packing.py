@@ -241,22 +241,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # millions of strings and no cycles
         encoder, task, ranks = _encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("local", pa.int64())])
         step = 4 * capacity
-        for batch in (b for whole in batches for b in sliced(whole, "text")):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    n = len(part) // 4
-                    rank = ranks.get(n, 0)
-                    ranks[n] = rank + 1
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), task, rank))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        gc.disable()  # millions of strings and no cycles
+        try:
+            for batch in (b for whole in batches for b in sliced(whole, "text")):
+                rows = []
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        n = len(part) // 4
+                        rank = ranks.get(n, 0)
+                        ranks[n] = rank + 1
+                        rows.append((doc, k, at // 4, n, zlib.crc32(part), task, rank))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
 
@@ -294,11 +297,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             sequence, offset = p["sequence"][k] + r % p["width"][k], p["offset"][k] + r // p["width"][k] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = parts.join(first, ["length", "task"]).withColumn("rank", F.col("first") + F.col("local")).drop("first", "local", "task")
+    # the table of first ranks has a row for each length of each task: it grows with the corpus, so it is never broadcast
+    ranked = parts.join(first.hint("merge"), ["length", "task"]).withColumn("rank", F.col("first") + F.col("local")).drop("first", "local", "task")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of every row of documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
     return pack(load(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
