@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -19,11 +19,15 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every node of the cluster sees: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set for the session.
+    Where the session names none, a temporary folder is made and set for a
+    session whose executors are the driver's own threads; on a cluster, where
+    other machines wouldn't see it, that is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all nodes of {master} share")
         place = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -103,8 +107,6 @@ def release() -> None:
     packing = sys.modules.get("tidewright.llm.packing")
     if packing and packing._encoders:
         packing._encoders.clear()
-        gc.enable()
-        gc.collect()
 
 
 class SpanHasher:
