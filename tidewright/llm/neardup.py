@@ -27,10 +27,12 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Bands compared first; what they link needs no comparing in the others.
 FIRST_BANDS = 6
-#: Most members beside the centre in one confirming group.
+#: Most members beside the centre in one confirming group, about.
 GROUP = 64
-#: Most members of one block where all pairs are compared; a task has two blocks.
+#: Most members of one block where all pairs are compared, about; a task has two blocks.
 BLOCK = 256
+#: Shingles that a group or block has, about, if its texts are long.
+SHINGLES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 #: Where an empty bin looks for a value: for each bin a permutation of all bins.
@@ -129,14 +131,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets have 100 * intersection >= percent * union.
+    """The edges (a, b) whose sets have 100 * intersection >= percent * union; ``n`` is the size of b's set.
 
-    Edges of one centre ``a`` go in groups of about GROUP others, each with the
-    centre's text, so a hot centre is spread over many tasks and each text
-    travels about once for each centre that it stands against.
+    Edges of one centre ``a`` go in groups of about GROUP others or SHINGLES
+    shingles, each with the centre's text, so a hot centre is spread over many
+    tasks and each text travels about once for each centre that it stands against.
     """
-    sizes = edges.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = edges.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", "a"), F.ceil(F.col("m") / GROUP)).cast("int").alias("part"))
+    # a table by itself, so that Spark can split a hot centre's side of the join
+    sizes = stored(edges.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / SHINGLES)).alias("m")), "sizes", 2)
+    dealt = edges.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", "a"), F.col("m")).cast("int").alias("part"))
     seats = dealt.select(F.col("b").alias("doc_id"), "a", "part").unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "part").distinct())
     rows = seats.join(texts, "doc_id")
 
@@ -183,19 +186,20 @@ def links_within(sets: list[np.ndarray], c: list[int], percent: int) -> list[tup
 
 
 def links_in_buckets(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join the parts ``c`` of each bucket (key, doc_id, c) as far as its similar pairs do.
+    """Edges (a, b) that join the parts ``c`` of each bucket (key, doc_id, n, c) as far as its similar pairs do.
 
     A bucket's largest part needs comparing with the others alone. Both are dealt
-    in blocks of about BLOCK, and a task has two blocks, so no bucket is a single
-    task. Buckets of the same members are one.
+    in blocks of about BLOCK members or SHINGLES shingles, and a task has two
+    blocks, so no bucket is a single task. Buckets of the same members are one.
     """
     same = [F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), F.col("doc_id"))).alias("x2")]
-    parts = left.groupBy("key", "c").agg(F.count("*").alias("m"), *same)
-    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.min(F.struct((-F.col("m")).alias("l"), "c")).alias("most"))
+    parts = left.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"), *same)
+    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.min(F.struct((-F.col("m")).alias("l"), "c", F.col("n").alias("n"))).alias("most"))
     buckets = buckets.where("parts > 1").dropDuplicates(["m", "x1", "x2"])
-    few, many = F.ceil((F.col("m") + F.col("most.l")) / BLOCK).cast("int"), F.ceil(-F.col("most.l") / BLOCK).cast("int")
-    one = F.col("m") <= BLOCK
-    buckets = buckets.select("key", F.col("most.c").alias("large"), F.when(one, 1).otherwise(few).alias("few"), F.when(one, 0).otherwise(many).alias("many"))
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / SHINGLES)).cast("int")
+    few, many = blocks(F.col("m") + F.col("most.l"), F.col("n") - F.col("most.n")), blocks(-F.col("most.l"), F.col("most.n"))
+    one = (F.col("m") <= BLOCK) & (F.col("n") <= SHINGLES)
+    buckets = stored(buckets.select("key", F.col("most.c").alias("large"), F.when(one, 1).otherwise(few).alias("few"), F.when(one, 0).otherwise(many).alias("many")), "unsettled", 2)
     outside = (F.col("many") == 0) | (F.col("c") != F.col("large"))
     dealt = F.when(outside, F.pmod(F.xxhash64("doc_id", "key"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("doc_id", "key"), F.greatest("many", F.lit(1)))).cast("int")
     members = left.join(buckets, "key").select("key", "doc_id", "c", "few", "many", dealt.alias("block"))
@@ -237,10 +241,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """Components of documents linked by Jaccard similarity of word shingles.
 
     ``docs`` has doc_id and text; further columns are ignored. Words are
-    [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Null, empty and blank texts have
+    [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; texts are read whole. Null, empty and blank texts have
     empty sets and are linked with nothing; a text of fewer than k words is one
     shingle. Rows that repeat a doc_id come back as often; rows without doc_id
-    are not linked. No rows give no rows.
+    are not linked. No rows give no rows. Rows of one doc_id with different texts
+    are each in the component of their own text; that of a doc_id's class
+    counts one of them.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable, its own
     included; null for a null doc_id) and kept (doc_id = component_id).
@@ -259,15 +265,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # the least ids are centres, which most buckets of a group share
     first = every.where(F.col("band") < FIRST_BANDS)
-    most = first.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an"))
+    most = stored(first.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("key", F.col("s.doc_id").alias("a"), F.col("s.n").alias("an")), "centres", 4)
     rest = stored(first.join(most, "key").where("doc_id != a").select("key", "doc_id", "n", "a", "an"), "stars", 8)
-    edges = rest.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b")).distinct()
+    edges = rest.where(f"100 * least(n, an) >= {percent} * greatest(n, an)").select("a", F.col("doc_id").alias("b"), "n").distinct()
     starred = stored(confirmed(edges, texts, k, percent), "links", 16)
     joined = components(starred)
     # a centre has met all others of its bucket and is done with there
-    left = rest.select("key", "doc_id").unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id"))
-    left = left.join(joined, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    several = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    left = rest.select("key", "doc_id", "n").unionByName(every.where(F.col("band") >= FIRST_BANDS).select("key", "doc_id", "n"))
+    left = left.join(joined, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+    several = stored(left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "several", 4)
     left = stored(left.join(several, "key", "left_semi"), "buckets", 8)
     dropped(every)
     dropped(rest)
@@ -285,6 +291,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of documents: shingles of two words, links from 80 per cent on."""
     return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
 
 
