@@ -116,13 +116,78 @@ def decode_packet(wire: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "flags", "version", "sequence", "base_sequence", "base_hash", "schema_hash", "payload", "error"])
 
 
+def zstd_payload_at(level: int = 1, min_savings: int = 8):
+    """A UDF payload -> the payload compressed where that saves more than ``min_savings`` bytes, else null."""
+
+    def run(payload: pd.Series) -> pd.Series:
+        out = []
+        for p in payload:
+            c = codec.zstd_candidate(codec.Packet("snapshot", 0, 0, 0, 0, bytes(p or b"")), level, min_savings)
+            out.append(c.payload if c.compressed else None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, BINARY)
+
+
+zstd_payload = zstd_payload_at()
+
+
+def packet_error(cap: int = codec.MAX_PAYLOAD):
+    """A UDF wire -> the kind of error that a decoder with that cap on payloads gives, or null."""
+
+    def run(wire: pd.Series) -> pd.Series:
+        out = []
+        for w in wire:
+            try:
+                codec.logical_payload(codec.decode_packet(bytes(w or b""), cap), cap)
+                out.append(None)
+            except codec.CodecError as e:
+                out.append(e.kind)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, STRING)
+
+
+@F.pandas_udf(BINARY)
+def record_bytes(record: pd.DataFrame) -> pd.Series:
+    """A record's bytes, from a struct of its fields."""
+    return pd.Series([codec.encode_record(_plain(r)) for r in record.to_dict("records")], dtype=object)
+
+
+@F.pandas_udf(BINARY)
+def record_delta_bytes(old: pd.DataFrame, new: pd.DataFrame) -> pd.Series:
+    """Bytes of what changed between two records; null where there is none before."""
+    pairs = zip(old.to_dict("records"), new.to_dict("records"), strict=True)
+    return pd.Series([None if pd.isna(a["agent_id"]) else codec.encode_record_delta(codec.record_delta(_plain(a), _plain(b))) for a, b in pairs], dtype=object)
+
+
+def _plain(record: dict) -> dict:
+    return {name: record[name] if kind == "s" else float(record[name]) if kind == "f" else int(record[name]) for name, kind in codec.RECORD}
+
+
+RECORD = _struct(**{name: {"s": STRING, "f": T.FloatType(), "b": INT, "u": U64}[kind] for name, kind in codec.RECORD}, error=STRING)
+
+
+@F.pandas_udf(RECORD)
+def read_record(data: pd.Series) -> pd.DataFrame:
+    """A record's fields from its bytes, or the error's kind."""
+    from decimal import Decimal
+
+    rows = []
+    for d in data:
+        try:
+            rows.append({k: Decimal(v) if dict(codec.RECORD)[k] == "u" else v for k, v in codec.decode_record(bytes(d or b"")).items()} | {"error": None})
+        except codec.CodecError as e:
+            rows.append({name: None for name, _ in codec.RECORD} | {"error": e.kind})
+    return pd.DataFrame(rows, columns=[*(name for name, _ in codec.RECORD), "error"])
+
+
 @F.pandas_udf(BINARY)
-def zstd_payload(payload: pd.Series) -> pd.Series:
-    """The payload compressed where that pays, else null."""
+def applied_record_delta(base: pd.Series, delta: pd.Series) -> pd.Series:
+    """Bytes of the record that a delta makes of a base; null without either. A field that leaves its range fails the query."""
     out = []
-    for p in payload:
-        c = codec.zstd_candidate(codec.Packet("snapshot", 0, 0, 0, 0, bytes(p or b"")))
-        out.append(c.payload if c.compressed else None)
+    for b, d in zip(base, delta, strict=True):
+        out.append(None if b is None or d is None else codec.encode_record(codec.apply_record_delta(codec.decode_record(bytes(b)), codec.decode_record_delta(bytes(d)))))
     return pd.Series(out, dtype=object)
 
 

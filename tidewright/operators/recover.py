@@ -50,15 +50,21 @@ def manifest(states: DataFrame, key: str, size: int = 1024) -> DataFrame:
 
 
 def differing(receiver: DataFrame, authoritative: DataFrame, key: str, size: int = 1024) -> DataFrame:
-    """Chunks (``key``, idx) that differ or stand on one side only."""
-    a, b = chunks(receiver, key, size), chunks(authoritative, key, size)
-    both = a.select(key, "idx", F.col("bytes").alias("old")).join(b.select(key, "idx", F.col("bytes").alias("new")), [key, "idx"], "full_outer")
-    return both.where(~F.col("old").eqNullSafe(F.col("new")))
+    """Chunks (``key``, idx) that differ or stand on one side only.
+
+    Both sides are known by a strong digest of each chunk, which is all that is shuffled.
+    """
+    digests = lambda states, name: chunks(states, key, size).select(key, "idx", F.unhex(F.sha2("bytes", 256)).alias(name))
+    both = digests(receiver, "old").join(digests(authoritative, "new"), [key, "idx"], "full_outer")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "idx")
 
 
 def repair(receiver: DataFrame, authoritative: DataFrame, key: str, size: int = 1024) -> DataFrame:
-    """Patches ``key``, idx, bytes; empty ones beyond the authoritative state's end."""
-    return differing(receiver, authoritative, key, size).select(key, "idx", F.coalesce("new", F.lit(b"")).alias("bytes"))
+    """Patches ``key``, idx, bytes; empty ones beyond the authoritative state's end. Bytes are taken of differing chunks alone."""
+    wanted = differing(receiver, authoritative, key, size).groupBy(key).agg(F.collect_list("idx").alias("idxs"))
+    state = F.coalesce("state", F.lit(b""))
+    rows = wanted.join(authoritative.select(key, "state"), key, "left").select(key, state.alias("state"), F.explode("idxs").alias("idx"))
+    return rows.select(key, "idx", F.substring("state", F.col("idx") * size + 1, F.lit(size)).alias("bytes"))
 
 
 def repair_costs(receiver: DataFrame, authoritative: DataFrame, key: str, size: int = 1024) -> DataFrame:
@@ -68,13 +74,23 @@ def repair_costs(receiver: DataFrame, authoritative: DataFrame, key: str, size:
 
 
 def apply_repair(receiver: DataFrame, patches: DataFrame, lengths: DataFrame, key: str, size: int = 1024) -> DataFrame:
-    """The receiver's chunks with the patches' in their place, cut to the target's length (``key``, target_len), in order."""
+    """The receiver's chunks with the patches' in their place, cut to the target's length, in order: ``key``, state.
+
+    ``lengths`` has ``key`` and target_len. With a column target_hash too, the
+    whole state's hash is held against it: the column error is InvalidState and
+    the state null where they differ.
+    """
     old = chunks(receiver, key, size)
     new = patches.select(key, "idx", F.col("bytes").alias("patch"))
     picked = old.join(new, [key, "idx"], "full_outer").select(key, F.struct("idx", F.hex(F.coalesce("patch", "bytes")).alias("h")).alias("c"))
     joined = picked.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
     state = F.unhex(F.array_join(F.transform("cs", lambda c: c["h"]), ""))
-    return lengths.join(joined, key, "left").select(key, F.coalesce(F.substring(state, F.lit(1), F.col("target_len").cast("int")), F.lit(b"")).alias("state"))
+    checked = "target_hash" in lengths.columns
+    out = lengths.join(joined, key, "left").select(key, *(["target_hash"] if checked else []), F.coalesce(F.substring(state, F.lit(1), F.col("target_len").cast("int")), F.lit(b"")).alias("state"))
+    if not checked:
+        return out
+    right = F.coalesce(fnv1a64_hex("state") == F.col("target_hash"), F.lit(False))
+    return out.withColumn("right", right).select(key, F.when(F.col("right"), F.col("state")).alias("state"), F.when(~F.col("right"), F.lit("InvalidState")).alias("error"))
 
 
 def three_way(plans: DataFrame, costs: DataFrame) -> DataFrame:

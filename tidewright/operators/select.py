@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import codec, udfs
 from tidewright.functions.expressions import encoded_len
 from tidewright.operators.diff import json_deltas, profiles_of_change
-from tidewright.operators.streams import with_previous, with_text
+from tidewright.operators.streams import ordered_fold, with_previous, with_text
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,12 @@ def choose(snapshot: Column, delta: Column, snapshot_zstd: Column | None = None,
 def four_way(profiles: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The audited choice for each profile: lengths of all candidates, mode and bytes."""
     both = json_deltas(with_text(profiles))
-    sized = both.select("stream_id", "seq", F.octet_length("state").cast("long").alias("state_bytes"), encoded_len(F.octet_length("state")).cast("long").alias("snapshot_bytes"), encoded_len(F.octet_length("delta")).cast("long").alias("delta_bytes"))
-    return sized.withColumn("c", choose(F.col("snapshot_bytes"), F.col("delta_bytes"), policy=policy)).select("*", F.col("c.mode").alias("mode"), F.col("c.bytes").alias("selected_bytes")).drop("c")
+    size = lambda c: encoded_len(F.octet_length(c)).cast("long")
+    small = [size(udfs.zstd_payload_at(policy.zstd_level, policy.min_compression_savings)(F.col(c).cast("binary"))).alias(f"{name}_zstd_bytes") for c, name in (("state", "snapshot"), ("delta", "delta"))] if policy.zstd else []
+    sized = both.select("stream_id", "seq", F.octet_length("state").cast("long").alias("state_bytes"), size("state").alias("snapshot_bytes"), size("delta").alias("delta_bytes"), *small)
+    zstd = [F.col("snapshot_zstd_bytes"), F.col("delta_zstd_bytes")] if policy.zstd else []
+    chosen = choose(F.col("snapshot_bytes"), F.col("delta_bytes"), *zstd, policy=policy)
+    return sized.withColumn("c", chosen).select("*", F.col("c.mode").alias("mode"), F.col("c.bytes").alias("selected_bytes")).drop("c")
 
 
 def _best(snapshot_len: Column, rest: Column) -> Column:
@@ -207,13 +211,9 @@ def fast_with_memory(states: DataFrame, **options) -> DataFrame:
     """The fast encoder with its winner memory and compression gate: stream_id, seq, mode, considered, selected_bytes.
 
     What is chosen at one update depends on the choices before it, so each
-    stream is folded in order; a stream's rows are one group.
+    stream is folded in order, batch by batch.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fast_rows(FastEncoder(**options), pdf.sort_values("seq")), columns=["stream_id", "seq", "mode", "considered", "selected_bytes"])
-
-    return states.groupBy("stream_id").applyInPandas(fold, FAST)
+    return ordered_fold(states, ["stream_id"], "seq", lambda: FastEncoder(**options), _fast_rows, FAST)
 
 
 def fast_in_place(states: DataFrame, **options) -> DataFrame:
@@ -238,9 +238,10 @@ def fast_in_place(states: DataFrame, **options) -> DataFrame:
 def exhaustive_with_tuner(states: DataFrame, min_savings: int = 8) -> DataFrame:
     """The exhaustive encoder with its compression tuner: stream_id, seq, mode, considered, selected_bytes, least (length from which zstd is tried next)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tuner, old, rows = Tuner(), None, []
-        for stream, seq, new in pdf.sort_values("seq")[["stream_id", "seq", "state"]].itertuples(index=False):
+    def step(held: list, pdf: pd.DataFrame) -> list[tuple]:
+        tuner, old = held
+        rows = []
+        for stream, seq, new in pdf[["stream_id", "seq", "state"]].itertuples(index=False):
             packets = [("snapshot", codec.snapshot(int(seq), new, 0))]
             if old is not None:
                 packets += [(k, codec.Packet("delta", int(seq), int(seq) - 1, 0, 0, p)) for k, p in codec.candidates(old, new).items()]
@@ -256,7 +257,7 @@ def exhaustive_with_tuner(states: DataFrame, min_savings: int = 8) -> DataFrame:
                     if small.compressed and small.encoded_len < best:
                         best, mode = small.encoded_len, f"{kind}_zstd"
             rows.append((stream, seq, mode, seen, best, tuner.least))
-            old = new
-        return pd.DataFrame(rows, columns=["stream_id", "seq", "mode", "considered", "selected_bytes", "least"])
+            old = held[1] = new
+        return rows
 
-    return states.groupBy("stream_id").applyInPandas(fold, "stream_id long, seq long, mode string, considered long, selected_bytes long, least long")
+    return ordered_fold(states, ["stream_id"], "seq", lambda: [Tuner(), None], step, "stream_id long, seq long, mode string, considered long, selected_bytes long, least long")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,3 +72,23 @@ def with_previous(states: DataFrame, *columns: str) -> DataFrame:
     """Each state beside its stream's one before: ``prev_`` columns, null at the first."""
     w = W.partitionBy("stream_id").orderBy("seq")
     return states.select("*", *(F.lag(c).over(w).alias(f"prev_{c}") for c in columns or ("state",)))
+
+
+def ordered_fold(rows: DataFrame, keys: list[str], order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Rows that ``step`` (state, pandas rows) gives for each key's rows in order, from the state that ``start`` makes.
+
+    A key's rows pass batch by batch, so a stream of any length takes the memory of one batch and one state.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        at, state = None, None
+        for pdf in batches:
+            out: list[tuple] = []
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                if str(key) != at:  # as text, for a null key is not equal to itself
+                    at, state = str(key), start()
+                out += step(state, part)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

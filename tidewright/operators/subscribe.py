@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions import codec
+from tidewright.operators.streams import ordered_fold
+
 OUTCOMES = "client_id long, arrival long, seq long, outcome string, local_seq long"
 
 
@@ -70,14 +73,105 @@ class Chain:
 def fold(deliveries: DataFrame, reorder: int = 0, gap: int = 8) -> DataFrame:
     """Outcome of each delivery (client_id, arrival, seq, kind, base_seq) in whatever order it came."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain, rows = Chain(None, reorder, gap), []
-        for c, a, s, k, b in pdf.sort_values("arrival")[["client_id", "arrival", "seq", "kind", "base_seq"]].itertuples(index=False):
+    def step(chain: Chain, pdf: pd.DataFrame) -> list[tuple]:
+        rows = []
+        for c, a, s, k, b in pdf[["client_id", "arrival", "seq", "kind", "base_seq"]].itertuples(index=False):
             outcome, _ = chain.step(k, int(s), int(b))
             rows.append((c, a, s, outcome, chain.local))
-        return pd.DataFrame(rows, columns=["client_id", "arrival", "seq", "outcome", "local_seq"]).astype({"local_seq": "Int64"})
+        return rows
+
+    return ordered_fold(deliveries, ["client_id"], "arrival", lambda: Chain(None, reorder, gap), step, OUTCOMES)
+
+
+class Receiver:
+    """One subscriber with its state: packets on the wire in, outcomes out.
+
+    Each packet is decoded (under ``cap``), its schema checked or, with
+    ``routes`` from (schema, schema) to a function of bytes, migrated; a repeat
+    is told by its sequence; a delta is applied if the state here has the hash of
+    its base, after decompression. Outcomes are applied, buffered, duplicate,
+    need_snapshot (need_recovery where packets may wait) or the kind of an error,
+    which changes nothing here.
+    """
 
-    return deliveries.groupBy("client_id").applyInPandas(run, OUTCOMES)
+    def __init__(self, schema: int, reorder: int = 0, gap: int = 8, cap: int = codec.MAX_PAYLOAD, routes: dict | None = None) -> None:
+        self.schema, self.cap, self.routes = schema, cap, routes
+        self.chain, self.state, self.hash = Chain(None, reorder, gap), None, None
+        self.waiting: dict[int, codec.Packet] = {}
+
+    @property
+    def need(self) -> str:
+        return "need_recovery" if self.chain.reorder else "need_snapshot"
+
+    def reset(self) -> None:
+        """As new: a publisher has begun anew."""
+        self.chain.local, self.state, self.hash = None, None, None
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the packets that wait."""
+        self.chain.pending.clear()
+        self.waiting.clear()
+
+    def receive(self, wire: bytes) -> tuple[str, list[int]]:
+        """The packet's outcome, and the sequences that waited for it and were applied after it."""
+        try:
+            p = codec.decode_packet(wire, self.cap)
+            if p.schema_hash != self.schema and (self.routes is None or p.kind == "delta"):
+                return ("SchemaMismatch" if self.routes is None else self.need), []
+            return self._take(p)
+        except codec.CodecError as e:
+            return e.kind, []
+
+    def _take(self, p: codec.Packet) -> tuple[str, list[int]]:
+        chain = self.chain
+        fresh = chain.local is None or p.sequence > chain.local
+        if fresh and p.kind == "snapshot":
+            state = codec.logical_payload(p, self.cap)
+            if codec.fnv1a64(state) != p.base_hash:
+                raise codec.CodecError("InvalidState", "snapshot hash")
+            if p.schema_hash != self.schema:
+                if (p.schema_hash, self.schema) not in self.routes:
+                    raise codec.CodecError("SchemaMigrationMissing", "no route")
+                state = self.routes[p.schema_hash, self.schema](state)
+            self._set(state)
+        elif fresh and p.base_sequence == chain.local:
+            if p.base_hash != self.hash:
+                return self.need, []
+            self._set(codec.apply_delta(self.state, codec.logical_payload(p, self.cap)))
+        outcome, drained = chain.step(p.kind, p.sequence, p.base_sequence)
+        if outcome == "buffered":
+            self.waiting.setdefault(p.sequence, p)
+        for i, seq in enumerate(drained):
+            q = self.waiting.pop(seq)
+            if q.base_hash != self.hash:
+                chain.local = seq - 1
+                return self.need, drained[:i]
+            self._set(codec.apply_delta(self.state, codec.logical_payload(q, self.cap)))
+        return outcome, drained
+
+    def _set(self, state: bytes) -> None:
+        self.state, self.hash = state, codec.fnv1a64(state)
+
+
+RECEIVED = "client_id long, epoch long, arrival long, outcome string, local_seq long, state_hash string"
+
+
+def receive(deliveries: DataFrame, schema: int, reorder: int = 0, gap: int = 8, cap: int = codec.MAX_PAYLOAD, routes: dict | None = None) -> DataFrame:
+    """RECEIVED: each client's deliveries (client_id, epoch, arrival, wire) through a receiver, which a new epoch resets; the state's hash after each."""
+
+    def step(held: list, pdf: pd.DataFrame) -> list[tuple]:
+        rows = []
+        for client, epoch, arrival, wire in pdf[["client_id", "epoch", "arrival", "wire"]].itertuples(index=False):
+            receiver, before = held
+            if epoch != before:
+                receiver.reset()
+                held[1] = epoch
+            outcome, _ = receiver.receive(bytes(wire))
+            rows.append((client, epoch, arrival, outcome, receiver.chain.local, None if receiver.hash is None else f"{receiver.hash:016x}"))
+        return rows
+
+    return ordered_fold(deliveries, ["client_id"], "arrival", lambda: [Receiver(schema, reorder, gap, cap, routes), None], step, RECEIVED)
 
 
 def check_schema(deliveries: DataFrame, schema_hash: str) -> DataFrame:
@@ -85,9 +179,9 @@ def check_schema(deliveries: DataFrame, schema_hash: str) -> DataFrame:
     return deliveries.withColumn("error", F.when(F.col("schema_hash") != schema_hash, F.lit("SchemaMismatch")))
 
 
-def without_repeats(deliveries: DataFrame) -> DataFrame:
-    """Each client's deliveries whose sequence is above all before: what suppression lets through."""
-    w = W.partitionBy("client_id").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
+def without_repeats(deliveries: DataFrame, *keys: str) -> DataFrame:
+    """Each client's deliveries whose sequence is above all before: what suppression lets through. With ``epoch`` among ``keys`` it begins anew in each."""
+    w = W.partitionBy(*(keys or ("client_id",))).orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
     return deliveries.withColumn("top", F.max("seq").over(w)).where("top is null or seq > top").drop("top")
 
 

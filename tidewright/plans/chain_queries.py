@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import udfs
 from tidewright.functions import expressions as X
 from tidewright.operators import crdt, metrics, recover, select, simulate, streams, subscribe
-from tidewright.plans.sync_queries import CHOICE_SQL, HASH_SQL, TEXT_SQL, profiles, table
+from tidewright.plans.sync_queries import CHOICE_SQL, HASH_SQL, PROFILE_SQL, TEXT_SQL, profiles, table
 from tidewright.sources import transports
 from tidewright.streaming import session
 
@@ -118,6 +116,54 @@ def decode_limits(spark, sf_dir):
     return t.select("stream_id", "seq", F.when(F.octet_length("state") > 110, F.lit("PacketTooLarge")).alias("error"))
 
 
+@query(
+    "epoch_restart",
+    f"""WITH {PROFILE_SQL}, sent AS (SELECT stream_id AS client_id, (seq - 1) // 20 AS epoch, (seq - 1) % 20 + 1 AS n, seq FROM profile WHERE seq % 7 <> 0),
+ d AS (SELECT client_id, epoch, n, seq * 2 AS arrival FROM sent UNION ALL SELECT client_id, epoch, greatest(n - 3, 1), seq * 2 + 1 FROM sent WHERE seq % 5 = 0),
+ t AS (SELECT *, max(n) OVER (PARTITION BY client_id, epoch ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM d)
+ SELECT client_id, epoch, n AS seq, arrival FROM t WHERE top IS NULL OR n > top""",
+)
+def epoch_restart(spark, sf_dir):
+    """A publisher that begins anew every 20 packets, at sequence 1, and repeats older packets: each epoch is suppressed by itself."""
+    p = profiles(spark, sf_dir).where("seq % 7 != 0").select(F.col("stream_id").alias("client_id"), F.expr("(seq - 1) div 20").alias("epoch"), ((F.col("seq") - 1) % 20 + 1).alias("n"), "seq")
+    first = p.select("client_id", "epoch", F.col("n").alias("seq"), (F.col("seq") * 2).alias("arrival"))
+    again = p.where("seq % 5 = 0").select("client_id", "epoch", F.greatest(F.col("n") - 3, F.lit(1)).alias("seq"), (F.col("seq") * 2 + 1).alias("arrival"))
+    return subscribe.without_repeats(first.unionByName(again), "client_id", "epoch").select("client_id", "epoch", "seq", "arrival")
+
+
+def wires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each profile's packet on the wire: a snapshot at 1 and every eleventh, else a splice delta on the state before: stream_id, seq, wire."""
+    t = streams.with_text(profiles(spark, sf_dir)).select("stream_id", "seq", F.col("state").cast("binary").alias("state"))
+    both = streams.with_previous(t)
+    whole = (F.col("seq") == 1) | (F.col("seq") % 11 == 0)
+    payload = F.when(whole, F.col("state")).otherwise(udfs.delta_bytes("splice")("prev_state", "state"))
+    made = both.select("stream_id", "seq", F.when(whole, "snapshot").otherwise("delta").alias("kind"), payload.alias("payload"), udfs.fnv1a64_hex(F.when(whole, F.col("state")).otherwise(F.col("prev_state"))).alias("hash"))
+    wire = udfs.encode_packet("kind", "seq", F.when(F.col("kind") == "snapshot", F.lit(0)).otherwise(F.col("seq") - 1), "hash", F.lit("0" * 16), "payload")
+    return made.select("stream_id", "seq", wire.alias("wire"))
+
+
+@query(
+    "receiver_states",
+    f"""WITH {TEXT_SQL}, {DELIVERIES_SQL}, per AS (SELECT client_id, count(*) FILTER (WHERE outcome = 'applied') AS applied, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicates, count(*) FILTER (WHERE outcome = 'need_snapshot') AS refused, max(seq) FILTER (WHERE outcome = 'applied') AS local_seq FROM outcomes GROUP BY client_id)
+ SELECT client_id, applied, duplicates, refused, local_seq, {HASH_SQL.format(x='state')} AS state_hash FROM per JOIN texts ON stream_id = client_id AND seq = local_seq""",
+)
+def receiver_states(spark, sf_dir):
+    """Real packets, lost and repeated as in the delivery log, through receivers that hold states: what each ends with."""
+    w = wires(spark, sf_dir).where("seq % 7 != 0").select(F.col("stream_id").alias("client_id"), F.lit(0).cast("long").alias("epoch"), "seq", (F.col("seq") * 2).alias("arrival"), "wire")
+    log = w.unionByName(w.where("seq % 5 = 0").withColumn("arrival", F.col("arrival") + 1))
+    got = subscribe.receive(log, 0)
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    return got.groupBy("client_id").agg(n("applied").alias("applied"), n("duplicate").alias("duplicates"), n("need_snapshot").alias("refused"), F.max_by("local_seq", "arrival").alias("local_seq"), F.max_by("state_hash", "arrival").alias("state_hash"))
+
+
+@query("decode_limits_wire", f"WITH {TEXT_SQL} SELECT stream_id, seq, CASE WHEN strlen(state) > 110 THEN 'PacketTooLarge' END AS error FROM texts")
+def decode_limits_wire(spark, sf_dir):
+    """Every state as a snapshot packet through a decoder with a cap of 110 bytes on payloads."""
+    t = streams.with_text(profiles(spark, sf_dir)).select("stream_id", "seq", F.col("state").cast("binary").alias("state"))
+    zero = F.lit("0" * 16)
+    return t.select("stream_id", "seq", udfs.packet_error(110)(udfs.encode_packet(F.lit("snapshot"), "seq", F.lit(0), zero, zero, "state")).alias("error"))
+
+
 # ---- recovery ----------------------------------------------------------------------
 
 PACKETS_SQL = CHOICE_SQL + ", packets AS (SELECT stream_id, seq, CASE WHEN mode = 'snapshot' THEN 0 ELSE seq - 1 END AS base_seq, selected_bytes AS encoded_len, snapshot_bytes FROM chosen)"
@@ -173,6 +219,44 @@ def three_way_plans(spark, sf_dir):
     return recover.three_way(p, costs).select("client_id", "strategy", F.col("cost_bytes").cast("long").alias("cost_bytes"))
 
 
+@query(
+    "three_way_repair",
+    f"""WITH {PLANS_SQL}, both_texts AS (SELECT a.client_id, o.state AS old, n.state AS new FROM asked a JOIN texts o ON o.stream_id = a.stream_id AND o.seq = a.local_seq JOIN texts n ON n.stream_id = a.stream_id AND n.seq = a.target_seq),
+ parts AS (SELECT client_id, i, nullif(substr(old, i * 32 + 1, 32), '') AS o, nullif(substr(new, i * 32 + 1, 32), '') AS n FROM (SELECT client_id, old, new, unnest(range(CAST(ceil(greatest(length(old), length(new)) / 32.0) AS BIGINT))) AS i FROM both_texts)),
+ c AS (SELECT client_id, coalesce(sum(length(n)) FILTER (WHERE o IS DISTINCT FROM n), 0) AS repair_bytes FROM parts GROUP BY client_id)
+ SELECT p.client_id, CASE WHEN coalesce(repair_bytes < coalesce(replay, snapshot_bytes), FALSE) THEN 'partial' WHEN replay IS NULL THEN 'snapshot' ELSE 'replay' END AS strategy,
+ CAST(CASE WHEN coalesce(repair_bytes < coalesce(replay, snapshot_bytes), FALSE) THEN repair_bytes ELSE coalesce(replay, snapshot_bytes) END AS BIGINT) AS cost_bytes FROM plans p LEFT JOIN c ON p.client_id = c.client_id""",
+)
+def three_way_repair(spark, sf_dir):
+    """Replay, snapshot or the repair of 32-byte chunks between the state a client has and its stream's last, whichever is least."""
+    p = recover.replay_plans(history(spark, sf_dir), requests(spark, sf_dir))
+    t = streams.with_text(profiles(spark, sf_dir)).select("stream_id", "seq", F.col("state").cast("binary").alias("state"))
+    at = lambda c: p.select("client_id", "stream_id", F.col(c).alias("seq")).join(t, ["stream_id", "seq"]).select("client_id", "state")
+    has = at("local_seq")
+    costs = recover.repair_costs(has, at("target_seq").join(has.select("client_id"), "client_id", "left_semi"), "client_id", 32).drop("patches")
+    return recover.three_way(p, costs).select("client_id", "strategy", F.col("cost_bytes").cast("long").alias("cost_bytes"))
+
+
+@query("session_replies", f"WITH {PLANS_SQL} SELECT 'states.reply.' || p.client_id AS topic, h.seq, 'replay' AS kind FROM plans p JOIN history h ON h.stream_id = p.stream_id AND h.seq > p.local_seq AND h.seq <= p.target_seq WHERE replay IS NOT NULL UNION ALL SELECT 'states.reply.' || client_id, target_seq, 'snapshot' FROM plans WHERE replay IS NULL")
+def session_replies(spark, sf_dir):
+    """The packets that go out on each asking client's reply topic."""
+    plans = recover.replay_plans(history(spark, sf_dir), requests(spark, sf_dir)).withColumn("reply_channel", F.concat(F.lit("states.reply."), F.col("client_id").cast("string")))
+    log = wires(spark, sf_dir)
+    last = log.groupBy("stream_id").agg(F.max_by("wire", "seq").alias("wire"))
+    return session.replies(plans, log, last).select("topic", "seq", "kind")
+
+
+@query("repair_verified", f"WITH s AS (SELECT a.item_id // 2 AS pair, b.text AS new FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE a.item_id % 2 = 0) SELECT pair, {HASH_SQL.format(x='new')} AS state_hash, CAST(NULL AS VARCHAR) AS error FROM s")
+def repair_verified(spark, sf_dir):
+    """Items repaired into the next ones by 64-byte chunks, each whole held against the authority's hash."""
+    t = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 2).alias("pair"), (F.col("item_id") % 2).alias("side"), F.coalesce("text", F.lit("")).cast("binary").alias("state"))
+    old, new = (t.where(F.col("side") == i).drop("side") for i in (0, 1))
+    old, new = old.join(new.select("pair"), "pair", "left_semi"), new.join(old.select("pair"), "pair", "left_semi")
+    goal = new.select("pair", F.octet_length("state").alias("target_len"), udfs.fnv1a64_hex("state").alias("target_hash"))
+    out = recover.apply_repair(old, recover.repair(old, new, "pair", 64), goal, "pair", 64)
+    return out.select("pair", udfs.fnv1a64_hex("state").alias("state_hash"), "error")
+
+
 SIDES_SQL = """sides AS (SELECT a.doc_id // 2 AS pair, coalesce(a.text, '') AS old, coalesce(b.text, '') AS new FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0),
  hexed AS (SELECT pair, hex(encode(old)) AS old, hex(encode(new)) AS new FROM sides),
  idx AS (SELECT pair, old, new, unnest(range(CAST(ceil(greatest(length(old), length(new)) / 2048.0) AS BIGINT))) AS i FROM hexed),
@@ -334,12 +418,47 @@ def chaos(spark, sf_dir):
     return simulate.chaos(spark, 10_000)
 
 
-for _workload, _clients, _updates in (("multi_client", 100, 2000), ("torture", 100, 2000), ("fast_torture", 100, 2000)):
+MULTI_CLIENT_SQL = """WITH x AS (SELECT c, u FROM range(100) a(c), range(2000) b(u)),
+ e AS (SELECT *, u > 0 AND (u + 13 * c) % 997 = 0 AS cut, max(CASE WHEN u > 0 AND (u + 13 * c) % 997 = 0 THEN u END) OVER (PARTITION BY c ORDER BY u) AS cut_at FROM x),
+ l AS (SELECT *, coalesce(u < cut_at + 5, FALSE) OR u > 0 AND (u + 17 * c) % 211 = 0 AS lost FROM e),
+ came AS (SELECT *, u > 0 AND (u + 19 * c) % 389 = 0 AS held FROM l WHERE NOT lost),
+ d AS (SELECT *, lag(held) OVER w AS after_held FROM came WINDOW w AS (PARTITION BY c ORDER BY u)),
+ g AS (SELECT *, u > 0 AND lag(u) OVER (PARTITION BY c ORDER BY u) IS DISTINCT FROM u - 1 AS gap, u > 0 AND (u + 23 * c) % 307 = 0 AS twice FROM d WHERE NOT held),
+ f AS (SELECT c, max(u) AS last FROM g GROUP BY c)
+ SELECT CAST(100 AS BIGINT) AS clients, (SELECT count(*) FROM g) AS deliveries, (SELECT count(*) FROM l WHERE lost) AS drops, (SELECT count(*) FILTER (WHERE twice) + count(*) FILTER (WHERE after_held) FROM g) AS duplicates, (SELECT count(*) FROM g WHERE gap) AS resyncs,
+ (SELECT count(*) FROM came WHERE held) AS reorders, (SELECT count(*) FROM l WHERE cut) AS disconnects, CAST(0 AS BIGINT) AS buffered, CAST(0 AS BIGINT) AS corruptions, CAST(0 AS BIGINT) AS late_joins, CAST(0 AS BIGINT) AS long_disconnects, CAST(0 AS BIGINT) AS storm,
+ (SELECT count(DISTINCT u) FROM g WHERE gap) AS shared_snapshots, (SELECT count(*) FROM f WHERE last = 1999) AS in_step, CAST(100 AS BIGINT) AS converged"""
+FAST_COUNTS_SQL = """WITH x AS (SELECT c, u, 1 + c % 97 AS j FROM range(100) a(c), range(1, 2001) b(u)),
+ e AS (SELECT *, (u + 17 * c) % 211 = 0 AS lost FROM x WHERE u > j OR (u = j AND j = 1)),
+ h AS (SELECT *, (u + 13 * c) % 509 = 0 AS held, (u + 13 * c) % 509 <> 0 AND (u + 19 * c) % 997 = 0 AS hurt FROM e WHERE NOT lost),
+ settled AS (SELECT c, u, NOT hurt AS came FROM h WHERE NOT held UNION ALL SELECT c, u, FALSE FROM x WHERE u = j AND j > 1),
+ g AS (SELECT *, came AND u > 1 AND lag(u) OVER (PARTITION BY c ORDER BY u) IS DISTINCT FROM u - 1 AS gap FROM settled)
+ SELECT (SELECT count(*) FROM e WHERE lost) AS drops, (SELECT count(*) FROM g WHERE came AND (u + 23 * c) % 701 = 0) AS duplicates, (SELECT count(*) FROM g WHERE gap) AS resyncs, (SELECT count(*) FROM h WHERE held) AS reorders,
+ (SELECT count(*) FROM h WHERE hurt) AS corruptions, (SELECT count(*) FROM x WHERE u = j AND j > 1) AS late_joins, CAST(100 AS BIGINT) AS converged"""
 
-    def _run(spark, sf_dir, w=_workload, c=_clients, u=_updates):
-        return simulate.simulate(spark, w, c, u)
 
-    QUERIES[f"simulate_{_workload}"] = (_run, None)
+@query("simulate_multi_client", MULTI_CLIENT_SQL)
+def simulate_multi_client(spark, sf_dir):
+    """100 clients and 2,000 updates: outages, drops, held and repeated packets, real ones through receivers that hold states."""
+    return simulate.simulate(spark, "multi_client", 100, 2000)
+
+
+@query("simulate_torture")
+def simulate_torture(spark, sf_dir):
+    """The same with late joins, long outages, damaged packets, waiting packets and one outage of all."""
+    return simulate.simulate(spark, "torture", 100, 2000)
+
+
+@query("simulate_fast_torture")
+def simulate_fast_torture(spark, sf_dir):
+    """The byte-state workload, with late joins and damaged packets."""
+    return simulate.simulate(spark, "fast_torture", 100, 2000)
+
+
+@query("fast_torture_counts", FAST_COUNTS_SQL)
+def fast_torture_counts(spark, sf_dir):
+    """Those of its counts that follow from the faults alone."""
+    return simulate_fast_torture(spark, sf_dir).select("drops", "duplicates", "resyncs", "reorders", "corruptions", "late_joins", "converged")
 
 
 @query("fast_encoder_matrix")
@@ -420,10 +539,7 @@ def control_messages(spark, sf_dir):
     return session.parse_control(acks).select("client_id", "selected_version")
 
 
-def _place(spark: SparkSession) -> str:
-    """A folder for one streaming run: the cluster's shared one, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+_place = session.shared_place
 
 
 @query("streaming_subscriber", _profile_only("SELECT CAST(client_id AS VARCHAR) AS client_id, seq, arrival, outcome FROM outcomes"))
@@ -433,15 +549,18 @@ def streaming_subscriber(spark, sf_dir):
     rows = deliveries(spark, sf_dir).select(F.col("client_id").cast("string").alias("client_id"), F.lit(0).cast("long").alias("epoch"), "seq", "kind", F.col("base_seq").cast("long").alias("base_seq"), "arrival")
     rows.write.parquet(f"{place}/in")
     out = session.run_to_table(spark, session.follow(spark.readStream.schema(rows.schema).parquet(f"{place}/in"), reorder=0), place)
-    # a sequence's first outcome came first
-    numbered = F.row_number().over(_by_outcome())
-    return out.withColumn("n", numbered).select("client_id", "seq", (F.col("seq") * 2 + F.col("n") - 1).cast("long").alias("arrival"), "outcome")
+    return out.select("client_id", "seq", "arrival", "outcome")
 
 
-def _by_outcome():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("client_id", "seq").orderBy(F.when(F.col("outcome") == "duplicate", 1).otherwise(0))
+@query("published_packets", f"WITH {TEXT_SQL} SELECT stream_id, seq, CAST(46 + strlen(state) AS BIGINT) AS encoded_len FROM texts WHERE seq = 1 OR seq % 11 = 0")
+def published_packets(spark, sf_dir):
+    """Packets published to the log by micro-batches and read back: the lengths of its snapshots."""
+    place = _place(spark)
+    w = wires(spark, sf_dir)
+    w.write.parquet(f"{place}/in")
+    session.publish(spark.readStream.schema(w.schema).parquet(f"{place}/in"), f"{place}/log", f"{place}/progress").awaitTermination()
+    log = spark.read.parquet(f"{place}/log").where("seq = 1 or seq % 11 = 0")
+    return log.select("stream_id", "seq", F.octet_length("wire").cast("long").alias("encoded_len"))
 
 
 @query("streaming_dedup", "SELECT event_id AS seq, user_id AS stream_id FROM events")

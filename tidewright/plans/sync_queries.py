@@ -108,6 +108,12 @@ def mode_histogram(spark, sf_dir):
     return metrics.mode_histogram(select.four_way(profiles(spark, sf_dir)))
 
 
+@query("four_way_compressed")
+def four_way_compressed(spark, sf_dir):
+    """The choice among all four packets, compressed ones too: lengths depend on the zstd build, so there is no SQL."""
+    return select.four_way(profiles(spark, sf_dir), select.Policy(zstd=True))
+
+
 @query("json_snapshots", f"WITH {TEXT_SQL} SELECT stream_id, seq, state, CAST(46 + strlen(state) AS BIGINT) AS encoded_len FROM texts")
 def json_snapshots(spark, sf_dir):
     return streams.with_text(profiles(spark, sf_dir)).select("stream_id", "seq", "state", X.encoded_len(X.octets(F.col("state"))).cast("long").alias("encoded_len"))
@@ -168,6 +174,57 @@ def record_reconstruct(spark, sf_dir):
     return diff.record_reconstruct(order_deltas(spark, sf_dir)).select("stream_id", "seq", *(f"r_{f}" for f, _ in diff.RECORD_FIELDS))
 
 
+def vhex(x: str) -> str:
+    """SQL of an unsigned number's varint in hexadecimal, up to 42 bits."""
+    byte = lambda i, more: f"lpad(to_hex((({x}) >> {7 * i}) & 127{' | 128' if more else ''}), 2, '0')"
+    return "CASE " + " ".join(f"WHEN ({x}) < {1 << 7 * n} THEN " + " || ".join(byte(i, i < n - 1) for i in range(n)) for n in range(1, 7)) + " END"
+
+
+def shex(x: str) -> str:
+    return f"(lpad(to_hex(strlen({x})), 2, '0') || hex(encode({x})))"
+
+
+AGENTS_SQL = """agents AS (SELECT o_custkey AS stream_id, CAST(row_number() OVER w AS BIGINT) AS seq, 'agent-' || o_custkey AS agent_id, o_orderpriority AS model, o_orderstatus AS status, 'order' AS task, o_orderkey % 101 AS progress, o_orderkey AS tokens,
+ CAST(round(o_totalprice * 100) AS BIGINT) AS memory_mb, o_orderkey // 3 AS files_processed, 'f/' || o_orderkey % 7 AS current_file FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+ ap AS (SELECT *, """ + ", ".join(f"lag({c}) OVER w AS p_{c}" for c in ("model", "status", "progress", "tokens", "memory_mb", "files_processed", "current_file")) + " FROM agents WINDOW w AS (PARTITION BY stream_id ORDER BY seq))"
+
+
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as agent records, all ten fields: stream_id, seq, record (a struct)."""
+    from pyspark.sql import Window as W
+
+    k = F.col("o_orderkey")
+    number = lambda c: c.cast("decimal(20,0)")
+    fields = F.struct(
+        F.concat(F.lit("agent-"), F.col("o_custkey").cast("string")).alias("agent_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("status"), F.lit("order").alias("task"), (k % 101).cast("int").alias("progress"), number(k).alias("tokens"),
+        number(F.round(F.col("o_totalprice") * 100)).alias("memory_mb"), F.lit(1.5).cast("float").alias("cpu_percent"), number(F.expr("o_orderkey div 3")).alias("files_processed"), F.concat(F.lit("f/"), (k % 7).cast("string")).alias("current_file"),
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream_id"), "o_orderkey", fields.alias("record"))
+    return rows.select("stream_id", F.row_number().over(W.partitionBy("stream_id").orderBy("o_orderkey")).cast("long").alias("seq"), "record")
+
+
+@query("record_bytes", f"""WITH {AGENTS_SQL} SELECT stream_id, seq, upper({shex("agent_id")} || {shex("model")} || {shex("status")} || {shex("task")} || lpad(to_hex(progress), 2, '0') || {vhex("tokens")} || {vhex("memory_mb")} || '0000C03F' || {vhex("files_processed")} || {shex("current_file")}) AS bytes,
+ agent_id, progress, tokens, memory_mb, current_file, CAST(NULL AS VARCHAR) AS error FROM agents""")
+def record_bytes(spark, sf_dir):
+    """Records as their bytes, and read back."""
+    r = agents(spark, sf_dir).select("stream_id", "seq", udfs.record_bytes("record").alias("b"))
+    back = r.select("stream_id", "seq", F.hex("b").alias("bytes"), udfs.read_record("b").alias("r"))
+    return back.select("stream_id", "seq", "bytes", F.col("r.agent_id").alias("agent_id"), F.col("r.progress").cast("long").alias("progress"), F.col("r.tokens").cast("long").alias("tokens"), F.col("r.memory_mb").cast("long").alias("memory_mb"), F.col("r.current_file").alias("current_file"), F.col("r.error").alias("error"))
+
+
+_CHANGED = (("model", 1, "s"), ("status", 2, "s"), ("progress", 4, "u"), ("tokens", 5, "u"), ("memory_mb", 6, "u"), ("files_processed", 8, "u"), ("current_file", 9, "s"))
+_MASK = " + ".join(f"{1 << bit} * ({c} IS DISTINCT FROM p_{c})::INT" for c, bit, _ in _CHANGED)
+_DELTAS = " || ".join(f"CASE WHEN {c} IS DISTINCT FROM p_{c} THEN " + (shex(c) if kind == "s" else vhex(f"CASE WHEN {c} >= p_{c} THEN ({c} - p_{c}) * 2 ELSE (p_{c} - {c}) * 2 - 1 END")) + " ELSE '' END" for c, _, kind in _CHANGED)
+
+
+@query("record_delta_bytes", f"""WITH {AGENTS_SQL} SELECT stream_id, seq, CASE WHEN seq > 1 THEN upper(lpad(to_hex(({_MASK}) % 256), 2, '0') || lpad(to_hex(({_MASK}) // 256), 2, '0') || {_DELTAS}) END AS delta, CASE WHEN seq > 1 THEN TRUE END AS same FROM ap""")
+def record_delta_bytes(spark, sf_dir):
+    """Each record's delta on the one before as bytes, and whether the record comes back from it."""
+    both = streams.with_previous(agents(spark, sf_dir), "record")
+    made = both.select("stream_id", "seq", udfs.record_bytes("record").alias("new"), F.when(F.col("prev_record").isNotNull(), udfs.record_delta_bytes(F.coalesce("prev_record", F.col("record")), "record")).alias("delta"), F.when(F.col("prev_record").isNotNull(), udfs.record_bytes(F.coalesce("prev_record", F.col("record")))).alias("old"))
+    return made.select("stream_id", "seq", F.hex("delta").alias("delta"), (udfs.applied_record_delta("old", "delta") == F.col("new")).alias("same"))
+
+
 @query("varint_lengths", f"SELECT o_orderkey, {vlen('o_orderkey')} AS key_len, {slen('o_orderkey - 7000')} AS signed_len, {vlen('o_orderkey * 1000003')} AS large_len FROM orders")
 def varint_lengths(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -310,7 +367,11 @@ def state_hashes(spark, sf_dir):
     return last.select("stream_id", udfs.fnv1a64_hex(F.col("state").cast("binary")).alias("state_hash"))
 
 
-@query("payload_checksums")
+CRC_SQL = """tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda h, k: CASE WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END) AS v FROM range(256) r(i)))"""
+
+
+@query("payload_checksums", f"""WITH {CRC_SQL}, p AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS h FROM pages), b AS (SELECT page_id, list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)) AS bytes FROM p)
+ SELECT page_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS crc32 FROM b, tab""")
 def payload_checksums(spark, sf_dir):
     """CRC32 of every page as a payload, by the built-in function."""
     return table(spark, sf_dir, "pages").select("page_id", F.crc32(F.coalesce("html", F.lit("")).cast("binary")).alias("crc32"))
