@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tidewright.llm.common import dropped, load, release, sliced, stored
 
-#: One pair of lines in so many is a cut.
-DIVISOR = 2
+#: So many pairs of lines out of so many are cuts: the more, the nearer a shared passage's ends its first and last cut.
+CUTS, OUT_OF = 2, 3
 #: A line of so many words is a paragraph, several lines of prose without line ends: a cut and a chunk of its own.
 PARAGRAPH_WORDS = 50
 _M = 0x9E3779B97F4A7C15
@@ -43,7 +43,7 @@ def chunks(text: bytes, paragraph_words: int = PARAGRAPH_WORDS) -> list[tuple[in
                 cuts.append((len(lines), len(lines)))
                 before = None
             else:
-                if before is not None and (((before * _M + h) * _M & _MASK) >> 32) * DIVISOR >> 32 == 0:
+                if before is not None and (((before * _M + h) * _M & _MASK) >> 32) * OUT_OF >> 32 < CUTS:
                     cuts.append((len(lines) - 1, len(lines)))
                 before = h
             lines.append((at, at + len(line)))
