@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
-from tidewright.llm import ann, decontam, html_text, linededup, toxicity, warc
+from tidewright.llm import ann, decontam, html_text, langid, linededup, quality, toxicity, warc
+from tidewright.llm.common import SpanHasher
 
 # ---- vectors ----
 
@@ -185,3 +187,57 @@ def test_damaged_payloads_are_told(spark, tmp_path):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{hurt}/headers")
     spark.read.parquet(f"{path}/payloads").selectExpr("digest", "CASE WHEN length(payload) = 150 THEN concat(payload, X'7A') ELSE payload END AS payload").write.parquet(f"{hurt}/payloads")
     assert {r["page_id"]: r["verified"] for r in warc.read_archive(spark, hurt).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+# ---- learning, ties and repeated rows ----
+
+
+def test_a_repeated_doc_id_is_one_document_to_learn_from(spark):
+    rows = [(i, f"the cat and the dog number {i} are here" if i % 2 else f"der hund und die katze nummer {i} sind hier", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = docs.unionByName(spark.createDataFrame([(1, "the cat and the dog number 1 are here", "en"), (1, "zz zz", "fr")] * 200, docs.schema))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    one, two = quality.train(docs, labels, "quality"), quality.train(more, labels, "quality")
+    assert (one["numbers"] == two["numbers"]).all() and one["bias"] == two["bias"]
+    one, two = toxicity.train(docs, labels), toxicity.train(more, labels)
+    assert (one["curve"] == two["curve"]).all() and (one["lexicon"][0] == two["lexicon"][0]).all()
+    assert langid.train(more)["classes"] == ["de", "en"]
+
+
+def test_equal_texts_get_the_same_in_any_batch(spark):
+    text = "the cat and the dog " * 50_000
+    rows = [(i, t) for i, t in enumerate([text, "a dog", None, "", "a dog", "7 7", text, "a dog"])] + [(1, "a dog"), (None, "a dog")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, "the cat and a dog" if i % 2 else "le chat et un chien", "en" if i % 2 else "fr") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    models = [(langid.predict, langid.train(known)), (quality.score, quality.train(known, labels, "quality")), (toxicity.score, toxicity.train(known, labels))]
+    for f, model in models:
+        got = [[tuple(r) for r in f(docs.repartition(n), model).collect()] for n in (1, 5)]
+        assert len(got[0]) == len(rows) and sorted(got[0], key=str) == sorted(got[1], key=str)
+        assert len({r[1:] for r in got[0] if r[0] in (1, 4, 7, None)}) == 1 and len({r[1:] for r in got[0] if r[0] in (0, 6)}) == 1
+
+
+def test_languages_that_tie_go_by_name(spark):
+    model = {"classes": ["aa", "bb"], "bias": np.zeros(2), "weights": np.zeros((1 << langid.BITS, 2), np.float32), "temperature": 1.0}
+    assert [tuple(r) for r in langid.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).collect()] == [(1, "aa", 0.5)]
+
+
+def test_scores_are_sums_over_features_by_hand(spark):
+    """The batched scores of languages and quality against each text's features counted alone."""
+    docs = [(r["doc_id"], r["text"] or "", r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.train(frame)
+    got = {r["doc_id"]: r for r in langid.predict(frame, model).collect()}
+    for d, t, _ in docs:
+        if any(map(str.isalpha, t)):
+            ids = langid.grams([t])[0]
+            v = (model["weights"][ids].astype(float).sum(axis=0) / len(ids) + model["bias"]) / model["temperature"]
+            p = np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+            assert got[d]["lang_pred"] == model["classes"][p.argmax()] and abs(got[d]["score"] - p.max()) < 1e-3
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    model = quality.train(frame, labels, "quality")
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame, model).collect()}
+    for d, t, _ in docs:
+        ids = np.concatenate(quality.features(pa.array([t]), SpanHasher())[0])
+        logit = model["numbers"][ids].astype(float).sum() / max(len(ids), 1) + model["bias"]
+        assert abs(got[d] - 1 / (1 + np.exp(-logit))) < 1e-6

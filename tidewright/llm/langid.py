@@ -134,7 +134,9 @@ def _softmax(v: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict | None:
     """Learn from documents (doc_id, text, lang): rows with null or empty text or null lang are left out; None if no row is left.
 
-    About ``fit_docs`` documents, chosen by a hash of doc_id, are fitted on, in one executor task.
+    About ``fit_docs`` documents, chosen by a hash of doc_id, are fitted on, in one executor task. Of rows
+    that repeat a doc_id the least (text, lang) is fitted on, so no doc_id fills that task; document
+    frequencies count all of them. Rows without doc_id count in the frequencies alone. Texts are read whole.
     """
     known = docs.where("lang is not null and text is not null and text != ''").select("doc_id", "text", "lang")
     n, df = document_frequencies(known)
@@ -150,14 +152,17 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict | None:
 
     some = known.where(F.col("doc_id").isNotNull())
     chosen = some.where(sample_below("doc_id", fit_docs / n)) if n > fit_docs else some
-    got = chosen.repartition(1).mapInArrow(run, MODEL).collect()
+    once = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")
+    got = once.repartition(1).mapInArrow(run, MODEL).collect()
     return pickle.loads(got[0]["model"]) if got else None
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred and score of every document (doc_id, text; further columns are ignored).
 
-    ``und`` with score 0 if the text is null or has no letter, or if there is no model.
+    ``und`` with score 0 if the text is null or has no letter, or if there is no model. Of languages that tie
+    the first by name is taken. A text of any length is read whole. Every row is predicted by itself, so repeated
+    rows and rows without doc_id come back as often, and equal texts get the same. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,6 +186,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of documents, learned from text and lang of rows not held out."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(docs.where(~held_out("doc_id", 5, 0)))
     return predict(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")

@@ -109,12 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str, fit_docs: int = FIT_D
 
     Null labels and ids are left out; of several labels of a document the
     largest counts. About ``fit_docs`` labelled documents, chosen by a hash of
-    doc_id, are fitted on, in one executor task. None if there are none.
+    doc_id, are fitted on, in one executor task; of rows that repeat a doc_id the
+    least text, a null one being empty. Texts are read whole. None if there are none.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     n = known.count()
     chosen = known.where(sample_below("doc_id", fit_docs / n)) if n > fit_docs else known
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen) if n else chosen, "doc_id")  # about fit_docs rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
@@ -126,7 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str, fit_docs: int = FIT_D
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id and score (0 to 1) of every document; null and empty texts get the bias alone, and 0.5 stands where nothing was learned."""
+    """doc_id and score (0 to 1) of every document (doc_id, text; further columns are ignored).
+
+    Null and empty texts get the bias alone, and 0.5 stands where nothing was learned. A text of any length is
+    read whole. Every row is scored by itself, so repeated rows and rows without doc_id come back as often, and
+    equal texts score the same. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or {"numbers": np.zeros(1 << BITS, np.float32), "bias": 0.0})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +153,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def op6_quality_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of documents, learned from labels of rows not held out."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, load(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out("doc_id", 5, 0)), "quality")
     return score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

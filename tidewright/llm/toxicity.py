@@ -309,7 +309,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] = FIT_DOC
 
     Of several labels of a document the largest counts. About ``fit_docs``
     documents of each class, chosen by a hash of doc_id, are learned from, in one
-    executor task. None if there are none.
+    executor task; of rows that repeat a doc_id the least text, a null one being
+    empty. Texts are read whole. None if there are none.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -318,6 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] = FIT_DOC
     chosen = known.where(F.when(F.col("y") == 1, sample_below("doc_id", min(1.0, fit_docs[1] / n.get(1, 1)))).otherwise(sample_below("doc_id", min(1.0, fit_docs[0] / n.get(0, 1)))))
     share = {y: min(1.0, fit_docs[y] / n[y]) for y in n}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # a bounded number of rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
@@ -369,7 +371,8 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns and other rows as they are.
 
-    Null and empty texts stay, unless the threshold is no higher than the curve's foot.
+    Null and empty texts stay, unless the threshold is no higher than the curve's foot. Rows are judged one by
+    one, repeated ones and those without doc_id too. Texts are read whole. No rows give no rows.
     Scoring and choosing are one pass over the rows: nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or {"lexicon": (np.zeros(0, np.uint64), np.zeros(0)), "curve": np.array([-30.0, 0.0, 0.0, 0.0])})
