@@ -154,3 +154,27 @@ def test_stages(spark, docs, none, labels, items, tmp_path, name):
     assert rows and n(stage(spark, none, str(tmp_path))) == 0
     if name != "packing":
         assert out.columns == docs.columns and {2, 3, 8, 9, None} <= {r["doc_id"] for r in rows}
+
+
+@pytest.mark.parametrize("name", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_keep_clashing_columns(spark, docs, clashing, labels, items, tmp_path, name):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain, wide = stage(spark, docs, str(tmp_path)), stage(spark, clashing, str(tmp_path))
+    if name == "packing":
+        assert wide.columns == plain.columns and n(wide) == n(plain)
+    else:
+        assert wide.columns == clashing.columns and {r[c] for r in wide.collect() for c in CLASH} == {"z"}
+        assert sorted(map(str, wide.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_stages_take_effect_on_repeated_rows(spark, docs, labels, items, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda name: sorted(str(r["doc_id"]) for r in stage[name](spark, docs, str(tmp_path)).collect())
+    every = sorted(str(r[0]) for r in ROWS)
+    assert ids("near_dedup") == [i for i in every if i != "7"] and ids("decontamination") == [i for i in every if i not in ("6", "7")] and ids("line_dedup") == every
+    by = [(r["doc_id"], r["text"], r["n_chars"]) for r in stage["line_dedup"](spark, docs, str(tmp_path)).collect()]
+    assert len({x for x in by if x[0] == 7}) == 1 and all(t is None or k == len(t) for _, t, k in by if k is not None) and (2, None, None) in by
