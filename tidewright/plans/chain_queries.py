@@ -9,7 +9,7 @@ from tidewright.functions import udfs
 from tidewright.functions import expressions as X
 from tidewright.operators import crdt, metrics, recover, select, simulate, streams, subscribe
 from tidewright.plans.sync_queries import CHOICE_SQL, HASH_SQL, PROFILE_SQL, TEXT_SQL, profiles, table
-from tidewright.sources import transports
+from tidewright.sources import brokers, transports
 from tidewright.streaming import session
 
 QUERIES: dict = {}
@@ -586,6 +586,25 @@ def local_bus(spark, sf_dir):
     return out.select("topic", F.decode("payload", "UTF-8").alias("payload"))
 
 
+def _own_host(spark: SparkSession) -> str:
+    """Where executors reach the driver."""
+    return "127.0.0.1" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.driver.host")
+
+
+@query("websocket_relay", "SELECT 'nations.' || n_regionkey AS topic, n_name AS payload FROM nation WHERE n_regionkey <> 0")
+def websocket_relay(spark, sf_dir):
+    """Nations published by tasks through a WebSocket relay on the driver; a subscriber to four of the five regions' topics lands them as files."""
+    place = _place(spark)
+    table(spark, sf_dir, "nation").select(F.concat(F.lit("nations."), F.col("n_regionkey").cast("string")).alias("topic"), F.col("n_name").cast("binary").alias("payload")).write.parquet(f"{place}/in")
+    bus = transports.FileBus(spark, f"{place}/bus")
+    with brokers.Relay(_own_host(spark)) as relay:
+        link = brokers.WebSocketLink(relay.url)
+        landing = brokers.Landing(bus, link, [f"nations.{i}" for i in range(1, 5)])
+        transports.send_each(spark.readStream.schema(session.MESSAGE).parquet(f"{place}/in"), link.connect, f"{place}/progress").awaitTermination()
+    landing.stop()
+    return spark.read.schema(session.MESSAGE).parquet(f"{place}/bus").select("topic", F.decode("payload", "UTF-8").alias("payload"))
+
+
 @query("generated_states")
 def generated_states(spark, sf_dir):
     """High-entropy states of both register forms and their scattered mutations, by hash and changed bytes."""
