@@ -158,3 +158,16 @@ def test_encoding_in_place_is_the_fold(spark):
     states = simulate.byte_workload(spark, 5, 700, 40, 3.0)
     a, b = (sorted(map(tuple, f(states).collect())) for f in (select.fast_with_memory, select.fast_in_place))
     assert a == b and len(a) == 200
+
+
+def test_scenarios_in_blocks_are_those_in_one(spark):
+    sizes, percents = [250, 300], [1, 40, 100]
+    got = [sorted(map(tuple, simulate.sparse_scenarios(spark, sizes, percents, 700, block).collect())) for block in (64, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_entropy_scenarios_change_what_they_say(spark):
+    rows = simulate.entropy_scenarios(spark, [256, 1024], [0.1, 100.0], 3, batch=512).collect()
+    assert len(rows) == 12 and {len(r["state"]) for r in rows if r["stream_id"] < 2} == {256}
+    by = {(r["stream_id"], r["seq"]): bytes(r["state"]) for r in rows}
+    assert all(1 <= sum(a != b for a, b in zip(by[s, q], by[s, q + 1], strict=True)) <= 2 for s in (0, 2) for q in (1, 2))

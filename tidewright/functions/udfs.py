@@ -41,6 +41,25 @@ def delta_bytes(kind: str, chunk: int = 1024, max_gap: int = 0):
     return run
 
 
+@F.pandas_udf(BINARY)
+def legacy_sparse(old: pd.Series, new: pd.Series) -> pd.Series:
+    """The old sparse form; null without an old state or where lengths differ."""
+    fits = lambda a, b: a is not None and b is not None and len(a) == len(b)
+    return pd.Series([codec.legacy_sparse(a, b) if fits(a, b) else None for a, b in zip(old, new, strict=True)], dtype=object)
+
+
+@F.pandas_udf(_struct(state=BINARY, error=STRING))
+def apply_legacy_sparse(base: pd.Series, payload: pd.Series) -> pd.DataFrame:
+    """The new state, or the error's kind; null for a null payload."""
+    rows = []
+    for b, p in zip(base, payload, strict=True):
+        try:
+            rows.append((None if p is None else codec.apply_legacy_sparse(b or b"", p), None))
+        except codec.CodecError as e:
+            rows.append((None, e.kind))
+    return pd.DataFrame(rows, columns=["state", "error"])
+
+
 CANDIDATE_LENGTHS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("len", T.LongType())]))
 
 

@@ -475,6 +475,37 @@ def fast_encoder_matrix(spark, sf_dir):
     return out
 
 
+SPARSE_SIZES, SPARSE_RATES = [250, 500, 1024, 1800, 2048, 4096, 8192, 16384, 30000], [1, 5, 10, 25, 50, 100]
+ENTROPY_SIZES, ENTROPY_RATES = [256, 1024, 16_384, 102_400], [0.1, 1.0, 5.0, 25.0, 100.0]
+
+
+def _varint_sql(x: str) -> str:
+    return f"CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 ELSE 3 END"
+
+
+@query(
+    "sparse_matrix",
+    f"""WITH s AS (SELECT size, pct, greatest((size * pct + 99) // 100, 1) AS c FROM (SELECT unnest({SPARSE_SIZES}) AS size) CROSS JOIN (SELECT unnest({SPARSE_RATES}) AS pct)),
+ u AS (SELECT size, pct, c, i, i % size AS p, greatest(i % size + c - size, 0) AS e FROM s CROSS JOIN range(10000) t(i)),
+ d AS (SELECT *, 46 + {_varint_sql("c")} + CASE WHEN e = 0 THEN {_varint_sql("p")} + 1 + 2 * (c - 1) ELSE 2 * e + {_varint_sql("(p - e + 1)")} + 1 + 2 * (size - p - 1) END AS delta FROM u),
+ w AS (SELECT *, i > 0 AND delta < 46 + size AS smaller FROM d)
+ SELECT CAST(size AS BIGINT) AS size, CAST(pct AS BIGINT) AS percent, CAST(sum(size) AS BIGINT) AS full_bytes, CAST(sum(CASE WHEN smaller THEN delta ELSE 46 + size END) AS BIGINT) AS wire_bytes, count(*) FILTER (WHERE smaller) AS deltas, count(*) FILTER (WHERE NOT smaller) AS snapshots FROM w GROUP BY size, pct""",
+)
+def sparse_matrix(spark, sf_dir):
+    """Nine sizes by six change rates, 10,000 updates each, all encoded: the smaller of old sparse delta and snapshot."""
+    return simulate.sparse_scenarios(spark, SPARSE_SIZES, SPARSE_RATES, 10_000)
+
+
+@query("entropy_matrix")
+def entropy_matrix(spark, sf_dir):
+    """Four sizes by five change rates of high-entropy states, 100 updates each, by the exhaustive encoder with its compression tuner."""
+    chosen = select.exhaustive_with_tuner(simulate.entropy_scenarios(spark, ENTROPY_SIZES, ENTROPY_RATES, 100))
+    size, percent = (F.element_at(F.array(*map(F.lit, v)), (i + 1).cast("int")) for v, i in ((ENTROPY_SIZES, F.floor(F.col("stream_id") / len(ENTROPY_RATES))), (ENTROPY_RATES, F.col("stream_id") % len(ENTROPY_RATES))))
+    whole = F.col("mode").startswith("snapshot")
+    rows = chosen.select(size.cast("long").alias("size"), percent.alias("percent"), "selected_bytes", whole.alias("whole"))
+    return rows.groupBy("size", "percent").agg((F.first("size") * F.count("*")).alias("raw_bytes"), F.sum("selected_bytes").alias("wire_bytes"), F.count_if(~F.col("whole")).alias("deltas"), F.count_if("whole").alias("snapshots"))
+
+
 @query("size_rate_matrix", "SELECT CAST(size AS BIGINT) AS size, CAST(pct AS INTEGER) AS percent, CAST(46 + size AS BIGINT) AS snapshot_bytes, CAST(greatest(size * pct // 100, 1) AS BIGINT) AS changed FROM (SELECT unnest([256, 1024, 4096, 16384, 65536, 102400, 262144, 524288, 1048576]) AS size) CROSS JOIN (SELECT unnest([0, 1, 5, 10, 25, 50]) AS pct)")
 def size_rate_matrix(spark, sf_dir):
     """The parameter table of the codec matrix in closed form."""

@@ -271,6 +271,15 @@ def legacy_sparse(spark, sf_dir):
     return c.select("stream_id", "seq", (F.col("payload_len") - 1 - X.varint_len(F.col("state_len"))).alias("payload_len"))
 
 
+@query("legacy_sparse_applied", f"WITH {CANDIDATES_SQL} SELECT l.stream_id, l.seq, CAST(payload_len - 2 AS BIGINT) AS payload_len, l.state, CAST(NULL AS VARCHAR) AS error FROM lines l JOIN cand c ON l.stream_id = c.stream_id AND l.seq = c.seq WHERE kind = 'sparse'")
+def legacy_sparse_applied(spark, sf_dir):
+    """Payloads of the old sparse form, made and applied to the state before."""
+    both = streams.with_previous(streams.order_lines(table(spark, sf_dir, "orders"))).where("prev_state is not null")
+    made = both.select("stream_id", "seq", "prev_state", udfs.legacy_sparse("prev_state", "state").alias("payload"))
+    out = made.select("stream_id", "seq", F.octet_length("payload").cast("long").alias("payload_len"), udfs.apply_legacy_sparse("prev_state", "payload").alias("r"))
+    return out.select("stream_id", "seq", "payload_len", F.decode("r.state", "UTF-8").alias("state"), "r.error")
+
+
 @query("strategy_totals", f"WITH {CANDIDATES_SQL} SELECT kind, count(*) AS updates, CAST(sum(payload_len + 46) AS BIGINT) AS total_bytes FROM cand GROUP BY kind")
 def strategy_totals(spark, sf_dir):
     return metrics.strategy_totals(diff.byte_candidates(streams.order_lines(table(spark, sf_dir, "orders")), chunk=16))
