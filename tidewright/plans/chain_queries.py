@@ -404,6 +404,12 @@ def demo_records(spark, sf_dir):
     return simulate.demo_records(spark, 1000)
 
 
+@query("demo_cpu", "WITH RECURSIVE r AS (SELECT CAST(0 AS BIGINT) AS step, CAST(34.2 AS FLOAT) AS x UNION ALL SELECT step + 1, CAST((x + CAST(1.9 AS FLOAT)) % CAST(100 AS FLOAT) AS FLOAT) FROM r WHERE step < 999) SELECT step, CAST(x AS DOUBLE) AS cpu_percent FROM r")
+def demo_cpu(spark, sf_dir):
+    """The demonstration record's float field, a recurrence in single precision."""
+    return spark.createDataFrame(list(enumerate(simulate.cpu_percent(1000))), "step long, cpu_percent double")
+
+
 @query("fault_events", """WITH x AS (SELECT c, u FROM range(100) a(c), range(1000) b(u) WHERE u > 0)
  SELECT count(*) FILTER (WHERE (u + 13 * c) % 997 = 0) AS disconnects, count(*) FILTER (WHERE (u + 17 * c) % 211 = 0) AS drops, count(*) FILTER (WHERE (u + 19 * c) % 389 = 0) AS holds, count(*) FILTER (WHERE (u + 23 * c) % 307 = 0) AS repeats, count(*) FILTER (WHERE (u + 31 * c) % 1237 = 0) AS corruptions, count(*) FILTER (WHERE (u + 29 * c) % 10007 = 0) AS long_outages FROM x""")
 def fault_events(spark, sf_dir):

@@ -353,6 +353,40 @@ def codec_comparison(spark, sf_dir):
     return d.select(F.explode(rows).alias("r")).groupBy("r.method").agg(F.count("*").alias("messages"), F.sum("r.bytes").alias("total_bytes"), F.round(F.sum("r.bytes") / F.count("*"), 4).alias("bytes_per_message"))
 
 
+@query(
+    "encoder_candidates",
+    f"""SELECT stream_id, count(*) AS packets, count(*) FILTER (WHERE mode = 'snapshot') AS snapshots, count(*) FILTER (WHERE mode <> 'snapshot') AS deltas, CAST(0 AS BIGINT) AS compressed, CAST(sum(state_bytes) AS BIGINT) AS input_bytes, CAST(sum(selected_bytes) AS BIGINT) AS output_bytes,
+ CAST(sum(considered) AS BIGINT) AS candidates, round(sum(selected_bytes) / CAST(sum(state_bytes) AS DOUBLE), 6) AS ratio, round((1.0 - sum(selected_bytes) / CAST(sum(state_bytes) AS DOUBLE)) * 100, 4) AS saving_percent FROM ({QUERIES["exhaustive_select"][1]}) GROUP BY stream_id""",
+)
+def encoder_candidates(spark, sf_dir):
+    """Each stream's encoder metrics under the exhaustive choice, with the candidates it considered."""
+    return metrics.encoder_metrics(exhaustive_select(spark, sf_dir), "stream_id")
+
+
+@query(
+    "method_totals",
+    f"""WITH r AS ({QUERIES["record_lengths"][1]}), x AS ({QUERIES["exhaustive_select"][1]}), b AS ({QUERIES["byte_delta_lengths"][1]}),
+ t AS (SELECT 'raw' AS method, state_bytes AS bytes FROM x UNION ALL SELECT 'snapshot', 46 + state_bytes FROM x UNION ALL SELECT 'exhaustive', selected_bytes FROM x UNION ALL SELECT 'record', 46 + record_len FROM r UNION ALL SELECT 'record_delta', 46 + coalesce(delta_len, record_len) FROM r
+ UNION ALL SELECT kind, 46 + payload_len FROM b UNION ALL SELECT unnest(['sparse', 'ranges', 'xor', 'splice', 'chunks']), 46 + state_bytes FROM x WHERE seq = 1),
+ g AS (SELECT method, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM t GROUP BY method)
+ SELECT method, messages, total_bytes, round(total_bytes / CAST(messages AS DOUBLE), 4) AS bytes_per_message, round((1.0 - total_bytes / CAST(messages * 36 AS DOUBLE)) * 100, 4) AS saving_percent, CAST(row_number() OVER (ORDER BY total_bytes, method) AS INTEGER) AS place FROM g""",
+)
+def method_totals(spark, sf_dir):
+    """Orders' records and lines by every method: raw, snapshots, records, record deltas, each byte delta, and the best of them."""
+    every, kinds = exhaustive_select(spark, sf_dir), F.array(*map(F.lit, ("sparse", "ranges", "xor", "splice", "chunks")))
+    of = lambda df, method, size: df.select(method.alias("method"), "state_bytes", size.cast("long").alias("bytes"))
+    whole = F.col("state_bytes") + X.HEADER_LEN
+    pairs = F.array(*(F.struct(F.lit(m).alias("m"), c.cast("long").alias("b")) for m, c in (("raw", F.col("state_bytes")), ("snapshot", whole), ("exhaustive", F.col("selected_bytes")))))
+    rows = of(every.select("state_bytes", F.explode(pairs).alias("p")), F.col("p.m"), F.col("p.b"))
+    rows = rows.unionByName(of(every.where("seq = 1").select("state_bytes", F.explode(kinds).alias("k")), F.col("k"), whole))
+    rows = rows.unionByName(of(byte_delta_lengths(spark, sf_dir).withColumnRenamed("state_len", "state_bytes"), F.col("kind"), F.col("payload_len") + X.HEADER_LEN))
+    lines = streams.order_lines(table(spark, sf_dir, "orders")).select("stream_id", "seq", F.octet_length("state").cast("long").alias("state_bytes"))
+    records = record_lengths(spark, sf_dir).join(lines, ["stream_id", "seq"])
+    both = F.array(*(F.struct(F.lit(m).alias("m"), c.alias("b")) for m, c in (("record", F.col("record_len")), ("record_delta", F.coalesce("delta_len", "record_len")))))
+    rows = rows.unionByName(of(records.select("state_bytes", F.explode(both).alias("p")), F.col("p.m"), F.col("p.b") + X.HEADER_LEN))
+    return metrics.method_totals(rows)
+
+
 # ---- hashes, wire, formats ---------------------------------------------------------
 
 HASH_SQL = "lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(range(1, strlen({x}) + 1), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i - 1, 2) AS UHUGEINT))), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616) AS UBIGINT))), 16, '0')"
