@@ -104,6 +104,40 @@ def test_counters_overflow(spark):
             bad().collect()
 
 
+def test_counters_over_the_cap_are_decoded(spark, tmp_path):
+    from tidewright.plans import registry
+
+    first, n = 10**18, 48_000
+    kind = F.when(F.col("id") % 50 == 0, F.lit(None).cast("string")).otherwise("view")
+    events = spark.range(2 * n).select(F.col("id").alias("event_id"), (F.lit(first) + F.col("id") % n).alias("user_id"), kind.alias("event_type"), F.format_string('{"k": %d}', F.col("id") % 7).alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    whole = registry.queries()["crdt_documents"](spark, str(tmp_path))
+    assert whole.agg(F.max(F.octet_length("document"))).first()[0] > crdt.MAX_DOCUMENT
+    want = {}
+    for i in range(2 * n):
+        key = (None if i % 50 == 0 else "view", str(first + i % n))
+        want[key] = want.get(key, 0) + i % 7
+    got = registry.queries()["crdt_decoded"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["counter"], r["replica"]): r["amount"] for r in got} == want
+
+
+def test_parts_of_counters(spark):
+    rng = random.Random(3)
+    rows = [(c, "r" * rng.choice((1, 2, 9, 40, 300)) + str(i), rng.randint(0, 9)) for c in ("a", "b", None) for i in range(200)] + [("one", "x", 5)]
+    components = spark.createDataFrame(rows, "counter string, replica string, amount long")
+    parts = crdt.encode_parts(components, "counter", size=100).collect()
+    documents = [(r["counter"], r["document"]) for r in parts]
+    entries = lambda d: d[len('{"components":{') : -2].split(",")
+    assert all(len(d) < 2 * 100 + 17 or len(entries(d)) == 1 for _, d in documents)
+    assert [d for c, d in documents if c == "one"] == ['{"components":{"x":5}}']
+    assert len(documents) < len(rows) / 2
+    assert all(entries(d) == sorted(entries(d), key=lambda e: e.split('"')[1]) for _, d in documents)
+    back = crdt.decode(spark.createDataFrame(parts), "counter", cap=400).collect()
+    assert sorted(map(str, ((r["counter"], r["replica"], int(r["amount"])) for r in back))) == sorted(map(str, rows))
+    with pytest.raises(Exception, match="size cap"):
+        crdt.decode(spark.createDataFrame(parts), "counter", cap=300).collect()
+
+
 def test_merge_laws(spark):
     rng = random.Random(1)
     parts = [spark.createDataFrame([("c", f"r{i}", rng.randint(0, 9)) for i in range(4)], "counter string, replica string, amount long") for _ in range(3)]

@@ -6,11 +6,12 @@ law at work, whatever order replicas' rows come in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 U64_MAX = "18446744073709551615"
 MAX_DOCUMENT = 1 << 20
+PART = MAX_DOCUMENT >> 4
 
 
 def _bounded(total, what: str):
@@ -58,11 +59,30 @@ def lww(writes: DataFrame, *keys: str) -> DataFrame:
     return writes.groupBy(*keys).agg(F.max_by("value", F.struct("ts", "replica")).alias("value"), F.max(F.struct("ts", "replica")).alias("m")).select(*keys, "value", F.col("m.ts").alias("ts"), F.col("m.replica").alias("replica"))
 
 
+def _documents(entries: DataFrame, keys, *groups) -> DataFrame:
+    rows = entries.groupBy(*keys, *groups).agg(F.array_sort(F.collect_list(F.struct("replica", "j"))).alias("e"))
+    return rows.select(*keys, F.concat(F.lit('{"components":{'), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("}}")).alias("document"))
+
+
+def _entries(components: DataFrame) -> DataFrame:
+    return components.withColumn("j", F.concat(F.lit('"'), "replica", F.lit('":'), F.col("amount").cast("string")))
+
+
 def encode(components: DataFrame, *keys: str) -> DataFrame:
     """A counter as JSON with its replicas in order."""
-    entry = F.struct("replica", F.concat(F.lit('"'), "replica", F.lit('":'), F.col("amount").cast("string")).alias("j"))
-    rows = components.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return rows.select(*keys, F.concat(F.lit('{"components":{'), F.array_join(F.transform("e", lambda x: x["j"]), ","), F.lit("}}")).alias("document"))
+    return _documents(_entries(components), keys)
+
+
+def encode_parts(components: DataFrame, *keys: str, size: int = PART) -> DataFrame:
+    """A counter as JSON documents of fewer than 2 * size + 17 bytes, each the state of some replicas, in order.
+
+    Every component with a replica and an amount is in one of them, so their merge is the counter, however many
+    replicas it has. An entry longer than ``size`` has a document of its own. As in ``encode``, replicas aren't escaped.
+    """
+    length = F.coalesce(F.octet_length("j") + 1, F.lit(0))
+    before = F.sum(length).over(Window.partitionBy(*keys).orderBy("replica").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length
+    alone = F.when(length > size, F.col("replica"))
+    return _documents(_entries(components).select(*keys, "replica", "j", F.floor(before / size).alias("part"), alone.alias("alone")), keys, "part", "alone")
 
 
 def decode(documents: DataFrame, *keys: str, cap: int = MAX_DOCUMENT) -> DataFrame:
